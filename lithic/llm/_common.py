@@ -42,8 +42,12 @@ def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -52,8 +56,3 @@ def text_or_empty(name: str = "text") -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
-
-
-def ids_first(df: DataFrame, id_col: str, *others: str) -> DataFrame:
-    """Only the named columns, so whatever else the table has can't clash with computed names."""
-    return df.select(*[F.col(f"`{c}`") for c in (id_col, *others)])
