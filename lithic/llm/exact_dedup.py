@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, bounded_batches, written
+from ._common import ascii_lower, written
 
 #: Rows of the table that tells which texts need verification: 64 bits each, so at most 64 million cells.
 ROUTE_WORDS = 1 << 20
@@ -107,7 +107,6 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fp", quotient_bits:
     Nulls are left out; an empty table gives no rows. `quotient_bits` (from the number of partitions if None)
     sets how many quotients there are; 16 quotients make a range that is merged by one task.
     """
-    spark = prints.sparkSession
     parts = max(1, prints.select(column).rdd.getNumPartitions())
     bits = quotient_bits or max(10, min(24, (64 * parts - 1).bit_length()))
     span = 16
@@ -132,7 +131,6 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fp", quotient_bits:
         many = counts > 1
         return pd.DataFrame({"fp": prints[many].view(np.int64), "n": counts[many]})
 
-    bounded_batches(spark, rows=100_000)
     return prints.select(F.col(column).cast("long")).mapInArrow(build, "range long, filter binary").groupBy("range").applyInPandas(merge, "fp long, n long")
 
 
