@@ -16,12 +16,17 @@ from .quality import quality
 from .repeats import remove_repeats
 from .token_output import token_output
 from .toxicity import toxicity
+from .wrapper import extract
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -58,7 +63,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_repeats, op5_token_output, op6_packing, op8_quality, op9_exact_dedup, op10_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_toxicity, op4_repeats, op5_token_output, op6_packing, op7_main_text, op8_quality, op9_exact_dedup, op10_top_k)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = {
