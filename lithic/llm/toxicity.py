@@ -17,7 +17,7 @@ from .labelled import scored, training_sample
 
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 4
 #: Bounds of the sample that the model is fitted on: rows labelled 0 and 1, and MB of text.
-ROWS_PER_LABEL, SAMPLE_MB = (9000, 3000), 40
+ROWS_PER_LABEL, SAMPLE_MB = (6000, 2000), 24
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +63,13 @@ class SubwordSoftmax:
         if not len(texts):
             return self
         words, token, counts = words_of(pa.array(texts, pa.string()))
-        gram, owner = word_grams(words)
-        starts = np.searchsorted(owner, np.arange(len(words) + 1))
+        grams, sizes = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(words), 20_000):  # blocks of words, as the n-grams of all at once would take much memory
+            part, owner = word_grams(words[at : at + 20_000])
+            grams.append(part)
+            sizes.append(np.bincount(owner, minlength=len(words[at : at + 20_000])))
+        gram, starts = np.concatenate(grams), np.cumsum(np.concatenate(sizes))
+        del words, grams, sizes
         ends = np.cumsum(counts)
         pairs = [np.unique(token[e - n : e], return_counts=True) for e, n in zip(ends, counts, strict=True)]
         rng, params = np.random.default_rng(seed), [self.table, self.out, self.bias]
