@@ -8,11 +8,14 @@ The model is linear behind the averages, so scoring needs one number for each n-
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ._common import bounded_batches
 from .labelled import scored, training_sample
 
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 4
@@ -130,3 +133,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     weights, bias = SubwordSoftmax().fit(texts, y).weights()
     kept = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS floats, whatever the input
     return scored(docs, lambda t: probabilities(t, kept.value, bias), threshold)
+
+
+def toxic_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """`docs` less the rows that score at `threshold` or more: a filter in the scan, no join. All columns are kept."""
+    texts, y = training_sample(docs, labels, "toxic", ROWS_PER_LABEL, SAMPLE_MB)
+    weights, bias = SubwordSoftmax().fit(texts, y).weights()
+    kept, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(probabilities(pc.fill_null(b.column(at), "").cast(pa.string()), kept.value, bias) < threshold))
+
+    bounded_batches(docs.sparkSession, rows=1024, mb=4)
+    return docs.mapInArrow(run, docs.schema)
