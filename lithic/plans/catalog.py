@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import geometry
+from . import geometry, splitting
 
-MODULES = (geometry,)
+MODULES = (geometry, splitting)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 FLAGSHIP = "relation_counts"
