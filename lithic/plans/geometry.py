@@ -249,7 +249,7 @@ def program_repair_answers(spark, sf):
 
 _CANDS = f"""{_MOVES}, best AS (SELECT geometry_id, magnitude AS mm FROM rk WHERE pos = 1 AND relation IN ('intersecting', 'contained')),
     e AS (SELECT geometry_id, mm, unnest([{{'label': 'A', 'f': 0.5}}, {{'label': 'B', 'f': 1.0}}, {{'label': 'C', 'f': 1.5}}, {{'label': 'D', 'f': 2.0}}]) AS c FROM best),
-    s AS (SELECT geometry_id, c.label AS label, c.f * mm AS movement, c.f * mm >= mm AS satisfies, abs(c.f * mm - mm) AS err FROM e),
+    s AS (SELECT geometry_id, mm, c.label AS label, c.f * mm AS movement, c.f * mm >= mm AS satisfies, abs(c.f * mm - mm) AS err FROM e),
     o AS (SELECT *, row_number() OVER (PARTITION BY geometry_id ORDER BY NOT satisfies, movement, err, label) AS p FROM s)"""
 
 
