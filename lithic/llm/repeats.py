@@ -34,9 +34,9 @@ from .routing import ROUTE_WORDS, routed
 
 LENGTH, WINDOW, ROLL = 400, 128, 16
 #: Contexts of one fingerprint that one task sorts, some 500 bytes each.
-GROUP = 8192
+GROUP = 2048
 #: Bytes of text that one step of the parser holds in its arrays.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _TABLE = np.random.default_rng(400).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
 _BASE = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2^64
