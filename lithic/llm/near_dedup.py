@@ -84,7 +84,7 @@ def minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def packed(low: np.ndarray) -> np.ndarray:
     """Signatures: BITS low bits of each minimum, in uint64 words."""
     per = 64 // BITS
-    lanes = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(low), -1, per)
+    lanes = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(low), HASHES // per, per)
     return np.bitwise_or.reduce(lanes << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
@@ -139,7 +139,7 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
             nodes = [xxhash.xxh3_128_digest(raw[8 * (e - n) : 8 * e]) if n else None for e, n in zip(ends, counts, strict=True)]
             full = counts > 0
             lows = minima(hashes, (ends - counts)[full])
-            sign = iter(packed(lows).view(np.uint8).reshape(len(lows), -1))
+            sign = iter(packed(lows).view(np.uint8).reshape(len(lows), HASHES * BITS // 8))
             bands = np.zeros((len(lows), BANDS), np.uint64)
             for k in range(ROWS):
                 bands = _mixed(bands * np.uint64(0xD6E8FEB86659FD93) + lows[:, k::ROWS])
