@@ -24,7 +24,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per
     Rows go by a hash of their id, so reruns draw the same ones, whatever the partitions. Held-out rows, null
     labels and ids without a document are left out. Long texts are drawn whole or not at all.
     """
-    marked = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & ~held_out("_id"))
+    marked = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
     ranked = [marked.where(F.col("_y") == y).select("_id", "_y", F.xxhash64("_id").alias("_h")).distinct().orderBy("_h", "_id").limit(rows_per_label[y]) for y in (0, 1)]
     drawn = ranked[0].union(ranked[1]).toPandas()  # bounded: ids only
     if not len(drawn):
