@@ -281,6 +281,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     bounded_batches(spark, rows=1024, mb=4)
     encoded = base.mapInArrow(encode, "shard int, id long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
     manifest_path = fresh_path(spark, "op5-manifest")
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)  # an empty table writes no file, but can be read
     encoded.mapInArrow(write, "shard int, file int, path string, documents long, ids long").write.parquet(manifest_path)
     manifest = spark.read.parquet(manifest_path)
     # One number for each shard comes to the driver, no more than the job has tasks.
