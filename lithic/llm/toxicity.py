@@ -19,6 +19,8 @@ from ._common import bounded_batches
 from .labelled import scored, training_sample
 
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 4
+#: Steps of descent at least, so a small sample is gone over more often.
+STEPS = 700
 #: Bounds of the sample that the model is fitted on: rows labelled 0 and 1, and MB of text.
 ROWS_PER_LABEL, SAMPLE_MB = (6000, 2000), 24
 
@@ -77,7 +79,7 @@ class SubwordSoftmax:
         pairs = [np.unique(token[e - n : e], return_counts=True) for e, n in zip(ends, counts, strict=True)]
         rng, params = np.random.default_rng(seed), [self.table, self.out, self.bias]
         seen = [np.full_like(p, 1e-6) for p in params]
-        for _ in range(epochs):
+        for _ in range(max(epochs, min(60, -(-STEPS // -(-len(texts) // batch))))):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 own = [i for i in order[at : at + batch] if counts[i]]
