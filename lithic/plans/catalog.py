@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, splitting
+from . import evaluation, geometry, records, splitting
 
-MODULES = (geometry, splitting, evaluation)
+MODULES = (geometry, splitting, evaluation, records)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 FLAGSHIP = "relation_counts"
