@@ -53,3 +53,28 @@ def test_resume(spark, tmp_path):
     rows("b", "c")
     go()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
+
+
+def test_tar_source(spark, tmp_path):
+    import io
+    import tarfile
+
+    from lithic.sources.archive import register
+
+    with tarfile.open(tmp_path / "s.tar", "w") as tar:
+        for name, data in (("keep/b.py", b"b"), ("keep/a.py", b"\xff a"), ("drop/c.py", b"c"), ("../x.py", b"x"), ("keep/n.txt", b"n")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    register(spark)
+    got = spark.read.format("tar_sources").option("prefixes", "keep/").option("members", "1").load(f"{tmp_path}/s.tar").collect()
+    assert sorted(tuple(r) for r in got) == [("keep/a.py", "� a"), ("keep/b.py", "b")]
+
+
+def test_config():
+    from lithic.sources.config import Config, parse
+
+    assert parse('{"workers": 9}').digest() == Config().digest()
+    assert parse('{"seed": 9}').digest() != Config().digest()
+    with pytest.raises(ValueError, match="unknown settings: nothing"):
+        parse('{"nothing": 1}')
