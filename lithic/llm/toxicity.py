@@ -8,6 +8,9 @@ The model is linear behind the averages, so scoring needs one number for each n-
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +25,7 @@ GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 4
 #: Steps of descent at least, so a small sample is gone over more often.
 STEPS = 700
 #: Bounds of the sample that the model is fitted on: rows labelled 0 and 1, and MB of text.
-ROWS_PER_LABEL, SAMPLE_MB = (6000, 2000), 24
+ROWS_PER_LABEL, SAMPLE_MB = (4500, 1500), 16
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +70,16 @@ class SubwordSoftmax:
     def fit(self, texts: list[str], labels: np.ndarray, epochs: int = 7, batch: int = 64, rate: float = 1.0, seed: int = 1) -> SubwordSoftmax:
         if not len(texts):
             return self
-        words, token, counts = words_of(pa.array(texts, pa.string()))
+        known: dict[str, int] = {}
+        pairs, lengths = [], []
+        for at in range(0, len(texts), 256):  # blocks of texts, so only the counts of words are held for all
+            found, token, n = words_of(pa.array(texts[at : at + 256], pa.string()))
+            token = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found))[token]
+            lengths.append(n)
+            pairs += [np.unique(t, return_counts=True) for t in np.split(token, np.cumsum(n)[:-1])]
+        pairs = [(w, c.astype(np.int32)) for w, c in pairs]
+        counts, words = np.concatenate(lengths), list(known)
+        del known, found, token
         grams, sizes = [], [np.zeros(1, np.int64)]
         for at in range(0, len(words), 20_000):  # blocks of words, as the n-grams of all at once would take much memory
             part, owner = word_grams(words[at : at + 20_000])
@@ -75,8 +87,6 @@ class SubwordSoftmax:
             sizes.append(np.bincount(owner, minlength=len(words[at : at + 20_000])))
         gram, starts = np.concatenate(grams), np.cumsum(np.concatenate(sizes))
         del words, grams, sizes
-        ends = np.cumsum(counts)
-        pairs = [np.unique(token[e - n : e], return_counts=True) for e, n in zip(ends, counts, strict=True)]
         rng, params = np.random.default_rng(seed), [self.table, self.out, self.bias]
         seen = [np.full_like(p, 1e-6) for p in params]
         for _ in range(max(epochs, min(60, -(-STEPS // -(-len(texts) // batch))))):
@@ -124,6 +134,16 @@ def probabilities(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarr
     return 1 / (1 + np.exp(-((total[ends] - total[ends - counts]) / np.maximum(counts, 1) + bias)))
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_label: tuple[int, int], sample_mb: int) -> tuple[np.ndarray, float]:
+    """Weights and bias; the memory that the fit took goes back to the system, as the driver lives on."""
+    out = SubwordSoftmax().fit(*training_sample(docs, labels, label_col, rows_per_label, sample_mb)).weights()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshold: float = 0.5, rows_per_label: tuple[int, int] = ROWS_PER_LABEL, sample_mb: int = SAMPLE_MB) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs`, scored from its whole text.
 
@@ -131,16 +151,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     text gets the model's bias alone, so equal texts always score alike. Without any label every score is 0.5 at
     most by the bias 0. Other columns aren't read; an empty table gives no rows.
     """
-    texts, y = training_sample(docs, labels, label_col, rows_per_label, sample_mb)
-    weights, bias = SubwordSoftmax().fit(texts, y).weights()
+    weights, bias = _fitted(docs, labels, label_col, rows_per_label, sample_mb)
     kept = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS floats, whatever the input
     return scored(docs, lambda t: probabilities(t, kept.value, bias), threshold)
 
 
 def toxic_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """`docs` less the rows that score at `threshold` or more: a filter in the scan, no join. All columns are kept."""
-    texts, y = training_sample(docs, labels, "toxic", ROWS_PER_LABEL, SAMPLE_MB)
-    weights, bias = SubwordSoftmax().fit(texts, y).weights()
+    weights, bias = _fitted(docs, labels, "toxic", ROWS_PER_LABEL, SAMPLE_MB)
     kept, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
