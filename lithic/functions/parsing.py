@@ -93,4 +93,5 @@ def ranking_agreement(gold: Column, mine: Column) -> Column:
     pairs = F.flatten(F.transform(at, lambda x, i: F.transform(F.slice(at, i + 2, F.length(gold)), lambda y: F.when((x > 0) & (y > 0) & (x < y), 1).otherwise(0))))
     total = F.size(pairs)
     good = F.aggregate(pairs, F.lit(0), lambda a, x: a + x)
-    return F.when((F.length(gold) == F.length(mine)) & (total > 0), good / total).otherwise(0.0)
+    same = F.array_sort(letters) == F.array_sort(F.split(mine, ""))
+    return F.when(same & (total > 0), good / total).otherwise(0.0)

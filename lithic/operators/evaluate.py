@@ -112,6 +112,12 @@ def numeric_error(rows: DataFrame, by: str, expected: Column, mine: Column, comp
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count(error).alias("comparable"), F.round(F.avg(error), 6).alias("mae"), F.round(ratio(F.count_if(error <= tolerance + 1e-9), F.count(F.lit(1))), 6).alias("within"))
 
 
+def ranking_accuracy(rows: DataFrame, gold: Column, parsed: Column) -> DataFrame:
+    """Sum of the pairwise agreements over the count of all rows; a null `parsed` counts as 0."""
+    total = F.count(F.lit(1))
+    return rows.agg(total.alias("total"), F.count(parsed).alias("parsed"), F.round(ratio(F.sum(P.ranking_agreement(gold, parsed)), total), 6).alias("accuracy"))
+
+
 def best_checkpoint(log: DataFrame, run: str, step: str, value: str) -> DataFrame:
     """Of each run the step of the greatest finite value; the first wins ties."""
     good = log.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf")))

@@ -161,6 +161,30 @@ def ranking_reward(spark, sf):
     return _rankings(spark, sf).where("event_id % 6 < 3").select("event_id", F.round(R.ranking_reward(F.lit("ABCD"), F.col("s")), 6).alias("reward"))
 
 
+# The same over all answers: those that don't parse or have other letters score 0.
+_RA = f"""{_RK}, rp AS (SELECT event_id, CASE WHEN regexp_full_match(s, '[A-E]{{3,5}}') AND len(list_distinct(string_split(s, ''))) = len(s) THEN s END AS s FROM rk2),
+    ra AS (SELECT event_id, s, coalesce(list_sort(string_split(s, '')) = ['A', 'B', 'C', 'D'], false) AS same FROM rp)"""
+
+
+def _parsed_rankings(spark, sf):
+    return _rankings(spark, sf).withColumn("s", A.parse_answer(F.lit("ranking_normalized_intersection"), F.col("s")))
+
+
+@query(f"WITH {_RA} SELECT event_id, round(CASE WHEN same THEN {_AGREE} ELSE 0 END, 6) AS score FROM ra")
+def all_pairwise_ranking_scores(spark, sf):
+    return _parsed_rankings(spark, sf).select("event_id", F.round(A.ranking_agreement(F.lit("ABCD"), F.col("s")), 6).alias("score"))
+
+
+@query(f"WITH {_RA} SELECT event_id, round(CASE WHEN same THEN 0.15 + 0.7 * {_AGREE} + CASE WHEN s[1] = 'A' THEN 0.15 ELSE 0 END ELSE 0 END, 6) AS reward FROM ra")
+def all_ranking_rewards(spark, sf):
+    return _parsed_rankings(spark, sf).select("event_id", F.round(R.ranking_reward(F.lit("ABCD"), F.col("s")), 6).alias("reward"))
+
+
+@query(f"WITH {_RA} SELECT count(*) AS total, count(s) AS parsed, round(coalesce(sum(CASE WHEN same THEN {_AGREE} ELSE 0 END) / nullif(count(*), 0), 0), 6) AS accuracy FROM ra")
+def pairwise_ranking_accuracy(spark, sf):
+    return E.ranking_accuracy(_parsed_rankings(spark, sf), F.lit("ABCD"), F.col("s"))
+
+
 # --- edits
 _ED = f"""{_MOVES}, eg AS (SELECT geometry_id, substr(geometry_id, 6, 8)::BIGINT AS a, direction, rank, magnitude, round({_GRID.format('magnitude + 1e-6')}, 1) AS mm FROM rk WHERE relation IN ('intersecting', 'contained')),
     ed AS (SELECT geometry_id, a, direction AS d, mm AS e, CASE WHEN a % 5 = 0 THEN '+x' ELSE direction END AS pd, round(mm + (a % 4) * 0.1, 1) AS p FROM (SELECT *, row_number() OVER (PARTITION BY geometry_id ORDER BY mm, rank) AS q FROM eg) WHERE q = 1),
