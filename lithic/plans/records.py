@@ -60,6 +60,11 @@ def normalized_answers(spark, sf):
     return table(spark, sf, "conversations").where("turn = 1").select("conv_id", "turn", R.normalized_answer(F.col("text")).alias("answer"))
 
 
+@query(r"SELECT conv_id, turn, lower(regexp_replace(trim(split_part(trim(text, chr(32) || chr(9) || chr(13) || chr(10)), chr(10), 1), chr(32) || chr(9) || chr(13) || chr(10)), '^[\s" + "\"" + r"''`.,:;!]+|[\s" + "\"" + r"''`.,:;!]+$', '', 'g')) AS answer FROM conversations")
+def all_normalized_answers(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", R.normalized_answer(F.col("text")).alias("answer"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '<think>' || text || '</think>' WHEN 1 THEN '<think>so so so so</think>' || text ELSE text END AS x FROM conversations),
     w AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(regexp_extract(x, '(?s)<think>(.*?)</think>', 1)), '\\s+'), lambda v: v <> '') AS words FROM t)
     SELECT conv_id, turn, len(words) >= 4 AND len(list_distinct(words)) >= 4 AS reasoned FROM w""")

@@ -18,3 +18,9 @@ def test_rankings_of_all_answers(spark):
         assert len(got) == n and all(abs(r[1] - per.get(r.event_id % 6, 0)) < 1e-6 for r in got)
     a = catalog.QUERIES["pairwise_ranking_accuracy"](spark, SF).first()
     assert (a.total, a.parsed) == (n, n - k[3] - k[4]) and abs(a.accuracy - (k[0] + k[1] * 5 / 6) / n) < 1e-6
+
+
+def test_answers_of_all_turns(spark):
+    got = catalog.QUERIES["all_normalized_answers"](spark, SF)
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    assert sorted(map(tuple, got.select("conv_id", "turn").collect())) == sorted(map(tuple, turns.select("conv_id", "turn").collect()))
