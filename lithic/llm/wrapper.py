@@ -6,17 +6,19 @@ own text is the same on most aligned pages is template; nodes whose text varies
 its slots, less what its marks name as no part of an article (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments), from its article or main element if it has one.
 
-Both passes are over whole pages, one row at a time; between them only (host, node, counts) is shuffled, pre-aggregated
-for each batch, so a host with a third of all pages costs no more than its pivot's nodes.
+Both passes are over whole pages, one row at a time; between them one short row of votes for each distinct article is
+shuffled, copies pre-aggregated, and then (host, node, counts), pre-aggregated for each batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ MARKS = re.compile(
     r"(?:^|[-_\s])(?:nav(?:igation|bar)?|menus?|header|masthead|banner|footer|side-?bar|aside|ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|comments?|disqus|replies|respond|complementary|contentinfo|skip-?link)(?:$|[-_\s\d])",
     re.I,
 )
-#: A node is template if its text is the same on this share of at least so many distinct aligned pages besides the pivot.
+#: A node is template if its text is the same on this share of at least so many aligned pages of distinct text besides the pivot.
 SAME, PAGES = 0.8, 4
 
 
@@ -238,7 +240,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null html is empty; a page without text has an empty one. Pages without a host in their url (or a null url) make a
     host of their own kind. The pivot is the page whose html has the least hash among its host's, so ties and repeated
-    pages change nothing; pages equal to the pivot don't count towards the template. Fewer than PAGES others: no template,
+    pages change nothing. Pages whose text by the marks alone is the same have one vote together, and those that share the
+    pivot's have none, so near copies of an article can't vote it into the template. Fewer than PAGES others: no template,
     the marks alone decide. Other columns aren't read; an empty table gives no rows.
     """
     spark = pages.sparkSession
@@ -253,21 +256,39 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            rows, its_articles = [], {}
             for h, html, pivot in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 if html == pivot:
                     continue
-                for mine, its in match(parse(html), _pivot(h, pivot)):
-                    words = own_text(its)
-                    if words:
-                        n = seen[h, its.number]
-                        n[0] += 1
-                        n[1] += own_text(mine) == words
+                root, its_root = parse(html), _pivot(h, pivot)
+                article = main_text(root)
+                if pivot not in its_articles:
+                    its_articles[pivot] = main_text(its_root)
+                if article == its_articles[pivot]:
+                    continue
+                votes = []
+                for mine, its in match(root, its_root):
+                    if words := own_text(its):
+                        votes.append(2 * its.number + (own_text(mine) == words))
+                rows.append((h, hashlib.sha256(article.encode("utf-8", "surrogatepass")).digest(), np.array(sorted(votes), ">i4").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)], ["_host", "_article", "_votes"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
+            for h, votes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for v in np.frombuffer(votes, ">i4").tolist():
+                    n = seen[h, v >> 1]
+                    n[0] += 1
+                    n[1] += v & 1
             if seen:
                 yield pa.RecordBatch.from_pydict({"_host": [h for h, _ in seen], "_node": [n for _, n in seen], "_all": [v[0] for v in seen.values()], "_same": [v[1] for v in seen.values()]}, pa.schema([("_host", pa.string()), ("_node", pa.int64()), ("_all", pa.int64()), ("_same", pa.int64())]))
 
     bounded_batches(spark, rows=512, mb=4)
-    counts = by_host(full.select("_host", "_html"), pivots).select("_host", "_html", "_pivot").mapInArrow(align, "_host string, _node long, _all long, _same long")
+    ballots = by_host(full.select("_host", "_html"), pivots).select("_host", "_html", "_pivot").mapInArrow(align, "_host string, _article binary, _votes binary")
+    once = ballots.groupBy("_host", "_article").agg(F.min("_votes").alias("_votes"))  # one vote for each article
+    counts = once.select("_host", "_votes").mapInArrow(count, "_host string, _node long, _all long, _same long")
     nodes = counts.groupBy("_host", "_node").agg(F.sum("_all").alias("_all"), F.sum("_same").alias("_same")).where((F.col("_all") >= PAGES) & (F.col("_same") >= SAME * F.col("_all")))
     templates = written(nodes.groupBy("_host").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "op7-templates")  # a pivot's nodes at most
     wrappers = pivots.join(templates, "_host", "left")
