@@ -1,13 +1,15 @@
 """HTML main text by wrapper induction.
 
-Pages of a host come from one template. One page of each host is its pivot, and every other page's DOM tree is aligned
-with it by simple tree matching: a top-down dynamic programme over ordered children with equal labels. A pivot node whose
+Pages of a host come from a few templates. They are told apart by their skeletons, the distinct structural tags of a
+page with their classes and ids; skeletons that are much alike are one layout. One page of each layout is its pivot, and
+the DOM tree of every other page of the layout is aligned with it by simple tree matching: a top-down dynamic programme over ordered children with equal labels. A pivot node whose
 own text is the same on most aligned pages is template; nodes whose text varies are slots of content. A page's text is
 its slots, less what its marks name as no part of an article (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments), from its article or main element if it has one.
 
 Both passes are over whole pages, one row at a time; between them one short row of votes for each distinct article is
-shuffled, copies pre-aggregated, and then (host, node, counts), pre-aggregated for each batch.
+shuffled, copies pre-aggregated, and then (host, layout, node, counts), pre-aggregated for each batch. Skeletons are
+read by expressions; one task lays out the distinct skeletons of a host, never its pages.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import bounded_batches, written
@@ -40,6 +43,8 @@ MARKS = re.compile(
 )
 #: A node is template if its text is the same on this share of at least so many aligned pages of distinct text besides the pivot.
 SAME, PAGES = 0.8, 4
+#: Skeletons that share this part of their tags are one layout.
+ALIKE = 0.75
 
 
 class Node:
@@ -231,33 +236,94 @@ def _pivot(host: str, html: str) -> Node:
     return _PIVOTS[key]
 
 
-#: Total bytes of pivots (one page a host) up to which they are broadcast; above it they are joined by host.
+#: Total bytes of pivots (one page a layout) or of layouts up to which they are broadcast; above it they are joined.
 BROADCAST_BYTES = 16 << 20
+_TAGS = r"<((?:/body|/html|div|section|main|article|header|footer|aside|nav|form|center|frameset|table|ul|ol|dl)\b[^>]*|(?:p|h[1-6]|td|th|li|span)\s[^>]*(?:class|id)\s*=[^>]*)>"
+
+
+def skeleton(html: Column) -> Column:
+    """Sorted hashes of the distinct structural tags of a page: name, class and id, without digits."""
+    part = lambda t, name: F.regexp_extract(t, rf"\b{name}\s*=\s*[\"']?([^\"'>]*)", 1)
+    tag = lambda t: F.xxhash64(F.regexp_extract(t, r"^(/?\w+)", 1), F.regexp_replace(part(t, "class"), r"\d", ""), F.regexp_replace(part(t, "id"), r"\d", ""))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(F.lower(html), F.lit(_TAGS), F.lit(1))), tag)))
+
+
+def layouts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The distinct skeletons of one host, each with its layout's leading skeleton: the one of the most pages.
+
+    Skeletons go by falling count to the layout they are most like, from ALIKE on, else lead one of their own. Layouts
+    that have too few pages for a template are given up, and their skeletons go to those that they are most like.
+    """
+    pdf = pdf.sort_values(["_pages", "_skeleton"], ascending=[False, True], kind="stable")
+    keys, pages = pdf["_skeleton"].to_numpy(), pdf["_pages"].to_numpy()
+    tags, codes = np.unique(np.concatenate([*pdf["_tags"], np.zeros(0, np.int64)]), return_inverse=True)
+    sets = np.split(codes, np.cumsum([len(t) for t in pdf["_tags"]])[:-1])
+    sizes = np.array([len(t) for t in sets])
+    holders: list[list[int]] = [[] for _ in tags]  # the leaders that hold each tag
+    leaders: list[int] = []
+
+    def lead(k: int) -> None:
+        for t in sets[k]:
+            holders[t].append(len(leaders))
+        leaders.append(k)
+
+    def best(k: int) -> tuple[int, float]:
+        """The leader most like skeleton k, the earlier one of equals."""
+        if not leaders:
+            return -1, 0.0
+        both = np.zeros(len(leaders), np.int64)
+        for t in sets[k]:
+            both[holders[t]] += 1
+        like = (both + 1) / (sizes[leaders] + sizes[k] - both + 1)  # all pages share the root
+        at = int(np.argmax(like))
+        return at, float(like[at])
+
+    total: list[int] = []
+    for k in range(len(keys)):
+        at, like = best(k)
+        if like < ALIKE:
+            at = len(leaders)
+            lead(k)
+            total.append(0)
+        total[at] += int(pages[k])
+    enough = [x for x, n in zip(leaders, total, strict=True) if n > PAGES] or [leaders[int(np.argmax(total))]]
+    leaders, holders = [], [[] for _ in tags]
+    for k in enough:
+        lead(k)
+    return pd.DataFrame({"_host": pdf["_host"].to_numpy(), "_skeleton": keys, "_layout": [keys[leaders[best(k)[0]]] for k in range(len(keys))]})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of `pages`: (id, url, text, n_chars).
 
     A null html is empty; a page without text has an empty one. Pages without a host in their url (or a null url) make a
-    host of their own kind. The pivot is the page whose html has the least hash among its host's, so ties and repeated
-    pages change nothing. Pages whose text by the marks alone is the same have one vote together, and those that share the
+    host of their own kind. The pivot is the page whose html has the least hash among those of its layout's leading skeleton,
+    so ties and repeated pages change nothing. Pages whose text by the marks alone is the same have one vote together, and those that share the
     pivot's have none, so near copies of an article can't vote it into the template. Fewer than PAGES others: no template,
     the marks alone decide. Other columns aren't read; an empty table gives no rows.
     """
     spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url_col}`").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     base = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("_url"), host.alias("_host"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("_html"))
+    base = base.withColumn("_tags", skeleton(F.col("_html"))).withColumn("_skeleton", F.xxhash64("_tags"))
+    full = base.where("_html <> ''")
+    distinct = full.groupBy("_host", "_skeleton", F.xxhash64("_html").alias("_h")).agg(F.min("_tags").alias("_tags"))
+    kinds = distinct.groupBy("_host", "_skeleton").agg(F.min("_tags").alias("_tags"), F.count(F.lit(1)).alias("_pages"))
+    chosen = written(kinds.groupBy("_host").applyInPandas(layouts, "_host string, _skeleton long, _layout long"), "op7-layouts")
+    few = (chosen.agg(F.sum(F.octet_length("_host") + 16)).first()[0] or 0) <= BROADCAST_BYTES
+    base = base.drop("_tags").join(F.broadcast(chosen) if few else chosen, ["_host", "_skeleton"], "left")
     full = base.where("_html <> ''")
-    pivots = written(full.groupBy("_host").agg(F.min_by("_html", F.struct(F.xxhash64("_html"), F.sha2("_html", 256))).alias("_pivot")), "op7-pivots")
+    leading = full.where("_skeleton = _layout").groupBy("_host", "_layout")
+    pivots = written(leading.agg(F.min_by("_html", F.struct(F.xxhash64("_html"), F.sha2("_html", 256))).alias("_pivot")), "op7-pivots")
     small = (pivots.agg(F.sum(F.octet_length("_pivot") + F.octet_length("_host"))).first()[0] or 0) <= BROADCAST_BYTES
 
-    def by_host(rows: DataFrame, other: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(other) if small else other, "_host", "left")
+    def by_layout(rows: DataFrame, other: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(other) if small else other, ["_host", "_layout"], "left")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, its_articles = [], {}
-            for h, html, pivot in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for h, layout, html, pivot in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if html == pivot:
                     continue
                 root, its_root = parse(html), _pivot(h, pivot)
@@ -270,28 +336,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 for mine, its in match(root, its_root):
                     if words := own_text(its):
                         votes.append(2 * its.number + (own_text(mine) == words))
-                rows.append((h, hashlib.sha256(article.encode("utf-8", "surrogatepass")).digest(), np.array(sorted(votes), ">i4").tobytes()))
+                rows.append((h, layout, hashlib.sha256(article.encode("utf-8", "surrogatepass")).digest(), np.array(sorted(votes), ">i4").tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.binary()), strict=True)], ["_host", "_article", "_votes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["_host", "_layout", "_article", "_votes"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-            for h, votes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            seen: dict[tuple[str, int, int], list[int]] = defaultdict(lambda: [0, 0])
+            for h, layout, votes in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 for v in np.frombuffer(votes, ">i4").tolist():
-                    n = seen[h, v >> 1]
+                    n = seen[h, layout, v >> 1]
                     n[0] += 1
                     n[1] += v & 1
             if seen:
-                yield pa.RecordBatch.from_pydict({"_host": [h for h, _ in seen], "_node": [n for _, n in seen], "_all": [v[0] for v in seen.values()], "_same": [v[1] for v in seen.values()]}, pa.schema([("_host", pa.string()), ("_node", pa.int64()), ("_all", pa.int64()), ("_same", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["_host", "_layout", "_node", "_all", "_same"])
 
     bounded_batches(spark, rows=512, mb=4)
-    ballots = by_host(full.select("_host", "_html"), pivots).select("_host", "_html", "_pivot").mapInArrow(align, "_host string, _article binary, _votes binary")
-    once = ballots.groupBy("_host", "_article").agg(F.min("_votes").alias("_votes"))  # one vote for each article
-    counts = once.select("_host", "_votes").mapInArrow(count, "_host string, _node long, _all long, _same long")
-    nodes = counts.groupBy("_host", "_node").agg(F.sum("_all").alias("_all"), F.sum("_same").alias("_same")).where((F.col("_all") >= PAGES) & (F.col("_same") >= SAME * F.col("_all")))
-    templates = written(nodes.groupBy("_host").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "op7-templates")  # a pivot's nodes at most
-    wrappers = pivots.join(templates, "_host", "left")
+    ballots = by_layout(full, pivots).select("_host", "_layout", "_html", "_pivot").mapInArrow(align, "_host string, _layout long, _article binary, _votes binary")
+    once = ballots.groupBy("_host", "_layout", "_article").agg(F.min("_votes").alias("_votes"))  # one vote for each article
+    counts = once.select("_host", "_layout", "_votes").mapInArrow(count, "_host string, _layout long, _node long, _all long, _same long")
+    nodes = counts.groupBy("_host", "_layout", "_node").agg(F.sum("_all").alias("_all"), F.sum("_same").alias("_same")).where((F.col("_all") >= PAGES) & (F.col("_same") >= SAME * F.col("_all")))
+    templates = written(nodes.groupBy("_host", "_layout").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "op7-templates")  # a pivot's nodes at most
+    wrappers = pivots.join(templates, ["_host", "_layout"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,5 +370,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out.append(main_text(root, own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    rows = by_host(base, wrappers).select("_id", "_url", "_host", "_html", "_pivot", "_nodes")
+    rows = by_layout(base, wrappers).select("_id", "_url", "_host", "_html", "_pivot", "_nodes")
     return rows.mapInArrow(read, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")

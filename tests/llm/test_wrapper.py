@@ -22,3 +22,17 @@ def test_copies_vote_once(spark):
     odd = "<html><body><div class=x><p>Odd promise</p></div><div class=y><h1>odd</h1><p>odd story</p></div></body></html>"
     got = texts(spark, [article(k) for k in range(12)] + [odd] * 30)
     assert got[:12] == [f"head {k}\nstory {k}" for k in range(12)]
+
+
+def test_layouts_have_their_own_pivots(spark):
+    def other(k):
+        return f"<html><body><div class=z><p>Other promise</p></div><section class=w><h2>Also constant</h2><p>tale {k}</p></section></body></html>"
+
+    listing = "<html><body><ul class=list><li>Entry</ul></body></html>"
+    cut = "<html><body><nav>menu"
+    pages = [article(k) for k in range(8)] + [other(k) for k in range(8)] + [listing, cut]
+    want = [f"head {k}\nstory {k}" for k in range(8)] + [f"tale {k}" for k in range(8)] + ["Entry", ""]
+    assert texts(spark, pages) == want
+    # optional parts don't set pages apart that are too few for a layout of their own
+    few = [article(k, extra=("", "<aside>more</aside>", "<footer>end</footer>")[k % 3]) for k in range(6)]
+    assert texts(spark, few) == [f"head {k}\nstory {k}" for k in range(6)]
