@@ -41,6 +41,11 @@ MARKS = re.compile(
     r"(?:^|[-_\s])(?:nav(?:igation|bar)?|menus?|header|masthead|banner|footer|side-?bar|aside|ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|comments?|disqus|replies|respond|complementary|contentinfo|skip-?link)(?:$|[-_\s\d])",
     re.I,
 )
+#: Of these, words that name parts which may hold more text than the article, or articles of their own.
+OTHERS = re.compile(r"(?:^|[-_\s])(?:related|recommended|comments?|disqus|replies|respond|promo(?:tion|s)?|sponsor(?:ed|s)?|ads?|advert(?:s|isement|ising)?)(?:$|[-_\s\d])", re.I)
+#: Words of a class that tell of the page what it has or lacks.
+STATE = re.compile(r"(?:^|(?<=\s))(?:has|have|no|with|without)[-_]\S+", re.I)
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A node is template if its text is the same on this share of at least so many aligned pages of distinct text besides the pivot.
 SAME, PAGES = 0.8, 4
 #: Skeletons that share this part of their tags are one layout.
@@ -48,10 +53,11 @@ ALIKE = 0.75
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "off", "shape", "number")
+    __slots__ = ("tag", "label", "children", "off", "mark", "shape", "number")
 
     def __init__(self, tag: str, mark: str = "", off: bool = False):
         self.tag, self.label, self.off = tag, f"{tag}.{mark}" if mark else tag, off
+        self.mark = ""  # what switches the node off if nothing but its marks does
         self.children: list[Node | str] = []
         self.shape: int = 0
         self.number = -1
@@ -64,6 +70,8 @@ class _Builder(HTMLParser):
         self.stack = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or (self.stack[-1].tag == "head" and tag not in IN_HEAD):
+            self._close("head")  # its end tag is optional
         if tag in CLOSES_P:
             self._close("p", stop=SCOPE - {"p"})
         if tag in ENDS_BEFORE:
@@ -71,7 +79,9 @@ class _Builder(HTMLParser):
                 self._close(t, stop=frozenset("ul ol dl table".split()))
         mark = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        node = Node(tag, mark, tag in SILENT or tag in NO_ARTICLE or hidden or bool(mark and tag not in ("html", "body", "article", "main") and MARKS.search(mark)))
+        node = Node(tag, mark, tag in SILENT or tag in NO_ARTICLE or hidden)
+        if not node.off and tag not in ("html", "body", "article", "main") and (named := STATE.sub(" ", mark)) and MARKS.search(named):
+            node.off, node.mark = True, named
         if tag in ("article", "main") and mark and re.search(r"(?:^|[-_\s])(?:comments?|related|promo|ads?)(?:$|[-_\s\d])", mark, re.I):
             node.off = True
         self.stack[-1].children.append(node)
@@ -96,6 +106,8 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if data:
+            if self.stack[-1].tag == "head" and data.strip():
+                self._close("head")
             self.stack[-1].children.append(data)
 
 
@@ -110,11 +122,57 @@ def parse(html: str) -> Node:
         n.number = len(order)
         order.append(n)
         todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    _give_back(order)
     for n in reversed(order):
         n.shape = hash((n.label, *(c.shape for c in n.children if isinstance(c, Node))))
     return b.root
 
 
+def _give_back(order: list[Node]) -> None:
+    """Switch nodes that only their marks switch off on again, if they hold the article.
+
+    They do if they hold the page's main element, all its article elements, or (where a mark is but a part of a name,
+    as in content-sidebar-wrap) more than half of its text. Parts of OTHERS need an article and most of the text.
+    """
+    if not any(n.mark for n in order):
+        return
+    size, mains, articles = ([0] * len(order) for _ in range(3))
+    open_articles = 0
+    for n in reversed(order):  # sums over what nothing but marks switches off
+        k = n.number
+        if n.off and not n.mark:
+            size[k] = mains[k] = articles[k] = 0
+            continue
+        size[k] += sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        mains[k] += n.tag == "main"
+        articles[k] += n.tag == "article"
+        for c in n.children:
+            if isinstance(c, Node):
+                size[k], mains[k], articles[k] = size[k] + size[c.number], mains[k] + mains[c.number], articles[k] + articles[c.number]
+    todo = [order[0]]
+    while todo:
+        n = todo.pop()
+        if not n.off:
+            open_articles += n.tag in ("article", "main")
+            todo += [c for c in n.children if isinstance(c, Node)]
+    for n in order:
+        if not n.mark:
+            continue
+        k = n.number
+        most = 2 * size[k] > size[0]
+        if OTHERS.search(n.mark):
+            n.off = not (most and (mains[k] or articles[k]) and not open_articles)
+        else:
+            whole = articles[k] and articles[k] == articles[0] and not open_articles
+            n.off = not (mains[k] or whole or (most and _partly(n.mark)))
+
+
+def _partly(mark: str) -> bool:
+    """Whether every mark in a class or id is but a part of a name whose other parts aren't marks."""
+    hits = [w for w in mark.split() if MARKS.search(w)]
+    return all(any(not MARKS.search(p) for p in re.split(r"[-_\d]+", w) if p) and not re.fullmatch(r"side-?bar|skip-?link", w, re.I) for w in hits)
+
+
 def own_text(n: Node) -> str:
     """Text that stands in the node itself, with that of its inline children's places left open."""
     return " ".join(" ".join(c for c in n.children if isinstance(c, str)).split())

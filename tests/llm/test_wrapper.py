@@ -36,3 +36,24 @@ def test_layouts_have_their_own_pivots(spark):
     # optional parts don't set pages apart that are too few for a layout of their own
     few = [article(k, extra=("", "<aside>more</aside>", "<footer>end</footer>")[k % 3]) for k in range(6)]
     assert texts(spark, few) == [f"head {k}\nstory {k}" for k in range(6)]
+
+
+def test_marks_around_the_article():
+    text = lambda html: main_text(parse(html))
+    story = "<h1>head</h1><p>A story that is longer than all around it.</p>"
+    want = "head\nA story that is longer than all around it."
+    # the end tag of head is optional
+    assert text(f"<html><head><title>t</title><meta charset=utf-8><body>{story}</body></html>") == want
+    assert text(f"<title>t</title><head><link rel=x><div>{story}</div>") == want
+    assert text(f"<head><noscript><img src=x></noscript><title>t</title></head><body>{story}") == want
+    # a class or id of a wrapper that has a mark for a part
+    for name in ("has-sidebar", "content-sidebar-wrap", "page no-header", "with_comments", "site-header-fixed"):
+        for inner in (story, f"<article>{story}</article>", f"<main>{story}</main>"):
+            page = f"<body><div class='{name}'><div class=sidebar>aside</div><div class=in>{inner}</div><div id=comments-list>me</div></div></body>"
+            assert text(page) == want, page
+    assert text(f"<body><div class=sidebar><main>{story}</main></div></body>") == want
+    # parts that aren't the article stay off, whatever they hold
+    more = "<p>" + "more and more text " * 20 + "</p>"
+    for part in (f"<div class=sidebar>{more}</div>", f"<div class=related><article>{more}</article></div>", f"<div id=comments-list>{more}</div>", f"<div class='cookie-consent'>{more}</div>"):
+        inner = f"<article>{story}</article>" if "article" in part else story
+        assert text(f"<body><div>{inner}</div>{part}</body>") == want, part
