@@ -5,7 +5,8 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 1. toxicity: documents that the classifier rejects (score of 0.5 or more) go.
 2. exact dedup: of equal texts (A-Z lower-cased) the largest doc_id stays.
-3. near-dedup: five-word shingles, similarity of 0.8 or more; one document of each group stays.
+3. near-dedup: five-word shingles, similarity of 0.8 or more; one document of each group stays. Rows that
+   share an id and are near copies of each other all stay if that id is the least of their group.
 4. mixing: sources get target weights; a document is repeated as often as the mix takes it, and goes where it takes none.
 5. packing: pieces of the documents in sequences of several lengths.
 
@@ -55,8 +56,14 @@ def exact_filter(docs: DataFrame) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(COLUMNS)
-    return without(docs, "doc_id", near_dedup(docs).where(~F.col("kept")).select("doc_id")).select(COLUMNS)
+    return near_filter(docs.select(COLUMNS))
+
+
+def near_filter(docs: DataFrame) -> DataFrame:
+    """Documents that near-dedup keeps, told apart by id and text."""
+    key = lambda digest: F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest), 256)
+    told = near_dedup(docs, digest_col="_digest").where(~F.col("kept")).select(key(F.lower(F.hex("_digest"))).alias("_row"))
+    return without(docs.withColumn("_row", key(F.sha2(text_or_empty(), 256))), "_row", told).select(COLUMNS)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,18 +119,18 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tu
             left = left[~hit]
 
 
-def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
     """One row per row of `docs`: (id, n_shingles, component_id, kept).
 
     Rows are linked if their shingle sets' intersection is at least `threshold` of their union. component_id is the
     least id that a row reaches over links, kept whether it is the row's own. Texts without words and rows with a
     null id are linked with nothing; a null id has component_id null and stays. Rows that repeat an id and a text are
-    all returned. Other columns aren't read; an empty table gives no rows.
+    all returned. Other columns aren't read; an empty table gives no rows. digest_col: a further column, the text's SHA-256.
     """
     spark = docs.sparkSession
     least_part = round(threshold * 10_000)
     enough = threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / HASHES * 16 / 15)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text_or_empty(text_col).alias("_text"), *([F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("_digest")] if digest_col else []))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,10 +145,10 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
             for k in range(ROWS):
                 bands = _mixed(bands * np.uint64(0xD6E8FEB86659FD93) + lows[:, k::ROWS])
             keys = iter(_mixed(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array([next(sign).tobytes() if f else None for f in full], pa.binary()), pa.array([next(keys) if f else None for f in full], pa.list_(pa.int64()))], ["_id", "n", "node", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array([next(sign).tobytes() if f else None for f in full], pa.binary()), pa.array([next(keys) if f else None for f in full], pa.list_(pa.int64())), *b.columns[2:]], ["_id", "n", "node", "sig", "keys", *b.schema.names[2:]])
 
     bounded_batches(spark, rows=512, mb=2)
-    signed = written(base.mapInArrow(sign, "_id long, n long, node binary, sig binary, keys array<long>"), "op2-signatures")
+    signed = written(base.mapInArrow(sign, "_id long, n long, node binary, sig binary, keys array<long>" + (", _digest binary" if digest_col else "")), "op2-signatures")
     nodes = signed.where("node is not null and _id is not null")
     # Copies collapse here: one row for each distinct set, aggregated within the partitions first.
     classes = written(nodes.groupBy("node").agg(F.min("_id").alias("least"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "op2-classes")
@@ -218,9 +218,10 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
     known = classes.select("node", "least").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = written(known.join(first, "root").select("node", "component_id"), "op2-components")
-    out = signed.select("_id", "n", F.when(F.col("_id").isNotNull(), F.col("node")).alias("node")).join(labels, "node", "left")
+    digest = ["_digest"] if digest_col else []
+    out = signed.select("_id", "n", *digest, F.when(F.col("_id").isNotNull(), F.col("node")).alias("node")).join(labels, "node", "left")
     component = F.coalesce("component_id", "_id")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), *[F.col(c).alias(digest_col) for c in digest])
 
 
 def blocks(rows: DataFrame, group: str, size, most, node: str, *carry: str) -> DataFrame:
