@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD, text_or_empty, written
@@ -103,13 +103,14 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None,
 
     size: words of the text (a null text has none); taken: words that the mix takes, size times 0 to `most` passes.
     The list of sources, one row each with its size, is the mix's specification and comes to the driver; documents
-    don't. Documents without words are never taken. Rows that repeat an id are taken or left each by itself, but by
-    the same hash: ties are broken by nothing but their order, and have the same size. Empty table: no rows.
+    don't. Documents without words are never taken. Rows of one source and size
+    that repeat an id (or have none) are told apart by their text; of those that repeat that, too, the wanted number is taken.
+    Empty table: no rows.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), size.alias("_size"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
-    narrow = written(base.select("_id", "_source", "_size"), "op1-sizes")
+    base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("_source"), size.alias("_size"), F.xxhash64(F.col(f"`{text_col}`").cast("string"), F.lit(seed)).alias("_tie"), *[F.col(f"`{c}`").alias(f"_carry_{c}") for c in carry])
+    narrow = written(base.select("_id", "_source", "_size", "_tie"), "op1-sizes")
     histogram = written(narrow.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_count")), "op1-lengths")
     sizes = {r["_source"]: r["n"] for r in histogram.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_count")).alias("n")).collect()}
     goal = targets(sizes, weights(list(sizes)), share * sum(sizes.values()), most)
@@ -144,15 +145,25 @@ def mix(docs: DataFrame, weights: Callable[[list[str | None]], dict[str | None,
     edges = edges.where((F.col("_before") < F.col("_extra")) & (F.col("_before") + F.col("_n") >= F.col("_extra"))).select("_source", "_size", F.col("_bucket").alias("_edge"), (F.col("_extra") - F.col("_before")).alias("_of_edge"))
     edges = written(edges, "op1-edges")
     edge = F.broadcast(edges) if bounded else edges  # one row at most for each row of the plan
-    inside = split.join(edge, split["_source"].eqNullSafe(edge["_source"]) & (split["_size"] == edge["_size"]) & (split["_bucket"] == edge["_edge"])).select(split["_id"], split["_source"], split["_size"], split["_hash"], "_of_edge")
-    # The hash at which the edge's bucket is cut; rows with that very hash (copies of an id) are told apart by number.
-    ranked = inside.withColumn("_rank", F.expr("row_number() over (partition by _source, _size order by _hash, _id)"))
-    cut = written(ranked.where("_rank = _of_edge").select("_source", "_size", F.col("_hash").alias("_cut")), "op1-cuts")
+    inside = split.join(edge, split["_source"].eqNullSafe(edge["_source"]) & (split["_size"] == edge["_size"]) & (split["_bucket"] == edge["_edge"])).select(split["_source"], split["_size"], split["_hash"], split["_tie"], "_of_edge")
+    # The hash at which the edge's bucket is cut; rows with that very hash (copies of an id) are told apart by their text,
+    # and of rows with the same text as well, _last out of _copies are taken.
+    order = "over (partition by _source, _size order by _hash, _tie)"
+    ranked = inside.withColumns({"_rank": F.expr(f"row_number() {order}"), "_last": F.expr(f"row_number() {order} - rank() {order} + 1"), "_copies": F.expr("count(*) over (partition by _source, _size, _hash, _tie)")})
+    cut = written(ranked.where("_rank = _of_edge").select("_source", "_size", F.col("_hash").alias("_cut"), F.col("_tie").alias("_cut_tie"), "_last", "_copies"), "op1-cuts")
     cuts = F.broadcast(cut) if bounded else cut
 
     out = planned(base).withColumns({"_hash": h, "_bucket": bucket})
     out = out.join(edge.select(F.col("_source").alias("_es"), F.col("_size").alias("_ez"), "_edge"), F.col("_source").eqNullSafe(F.col("_es")) & (F.col("_size") == F.col("_ez")), "left")
-    out = out.join(cuts.select(F.col("_source").alias("_cs"), F.col("_size").alias("_cz"), "_cut"), F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_size") == F.col("_cz")), "left")
-    once = F.when(F.col("_extra") >= F.col("_count"), True).when(F.col("_extra") <= 0, False).when(F.col("_bucket") < F.col("_edge"), True).when(F.col("_bucket") > F.col("_edge"), False).otherwise(F.col("_hash") <= F.col("_cut"))
+    out = out.join(cuts.select(F.col("_source").alias("_cs"), F.col("_size").alias("_cz"), "_cut", "_cut_tie", "_last", "_copies"), F.col("_source").eqNullSafe(F.col("_cs")) & (F.col("_size") == F.col("_cz")), "left")
+    at_edge = (F.col("_extra") > 0) & (F.col("_extra") < F.col("_count")) & (F.col("_bucket") == F.col("_edge"))
+    tied = F.coalesce(at_edge & (F.col("_hash") == F.col("_cut")) & (F.col("_tie") == F.col("_cut_tie")) & (F.col("_last") < F.col("_copies")), F.lit(False))
+    if cut.where("_last < _copies").isEmpty():
+        out = out.withColumn("_number", F.lit(0))
+    else:  # only rows that nothing tells apart are numbered
+        number = F.row_number().over(Window.partitionBy("_source", "_size", "_hash", "_tie").orderBy("_id", *[f"_carry_{c}" for c in carry]))
+        out = out.where(~tied).withColumn("_number", F.lit(0)).unionByName(out.where(tied).withColumn("_number", number))
+    upto = (F.col("_hash") < F.col("_cut")) | ((F.col("_hash") == F.col("_cut")) & ((F.col("_tie") < F.col("_cut_tie")) | ((F.col("_tie") == F.col("_cut_tie")) & (F.col("_number") <= F.col("_last")))))
+    once = F.when(F.col("_extra") >= F.col("_count"), True).when(F.col("_extra") <= 0, False).when(F.col("_bucket") < F.col("_edge"), True).when(F.col("_bucket") > F.col("_edge"), False).otherwise(upto)
     taken = F.col("_size") * (F.col("_passes") + F.when(F.coalesce(once, F.lit(False)), 1).otherwise(0))
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source").alias("source"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
