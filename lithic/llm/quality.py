@@ -21,12 +21,13 @@ ROWS_PER_LABEL, SAMPLE_MB = (1500, 2500), 16
 
 
 def laid_out(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes + 1 of each text, filled up with at least WIDTH zeros to whole half chunks (two at least), and how many each has.
+    """Bytes + 1 of each text, after WIDTH zeros and filled up with zeros to whole half chunks (two at least), and how many each has.
 
-    No filter reaches from one text into the next, so a text scores the same in any batch."""
+    A filter that reaches beyond a text's last half chunk reads the zeros before the next text, and none reads further
+    than that, so a text scores the same in any batch."""
     halves = np.maximum(2, -(-(lengths + WIDTH) // HALF))
     out = np.zeros(int(halves.sum()) * HALF + WIDTH, np.uint16)
-    begins = (np.cumsum(halves) - halves) * HALF
+    begins = (np.cumsum(halves) - halves) * HALF + WIDTH
     source = np.cumsum(lengths) - lengths
     out[np.repeat(begins - source, lengths) + np.arange(len(data))] = data.astype(np.uint16) + 1
     return out, halves

@@ -16,7 +16,7 @@ from lithic.llm.hamming import top_k
 from lithic.llm.mixing import cycle_weights, fill, mix, targets
 from lithic.llm.near_dedup import BITS, HASHES, estimated, minima, near_dedup, packed
 from lithic.llm.packing import pack, pack_bins
-from lithic.llm.quality import ByteConvNet, arrow_bytes
+from lithic.llm.quality import ByteConvNet, arrow_bytes, quality
 from lithic.llm.repeats import merged_spans, remove_repeats
 from lithic.llm.token_output import Encoder, PackedFile, file_bytes, pack as pack_bits, token_output, unpack
 from lithic.llm.toxicity import SubwordSoftmax, probabilities
@@ -271,6 +271,21 @@ def test_quality_network():
     assert np.allclose(p, one, atol=1e-5)
 
 
+def test_quality_is_the_same_in_any_batch(spark):
+    """Texts of all lengths around a half chunk, long and empty ones: neighbours and partitions change nothing."""
+    rng = random.Random(29)
+    texts = ["".join(rng.choice("ab !é") for _ in range(n)) for n in [*range(0, 140), 1000, 70_000]]
+    net = ByteConvNet(5)
+    alone = np.array([net.probability(*arrow_bytes(pa.array([t])))[0] for t in texts])
+    order = rng.sample(range(len(texts)), len(texts))
+    mixed = net.probability(*arrow_bytes(pa.array([texts[i] for i in order])), block=256)
+    assert np.allclose(alone[order], mixed, atol=1e-6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, quality int")
+    one, many = ({r.doc_id: r.score for r in quality(docs.repartition(n), labels).collect()} for n in (1, 7))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
+
+
 def test_quality_gradient():
     from lithic.llm.quality import laid_out
 
