@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one that is then set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it there is none, and an error says so."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lithic-')}"
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -36,10 +39,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes, so Python workers stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> Iterator[None]:
+    """Bound what one Arrow batch holds, by rows and by bytes, for what runs inside: Python workers stay small."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 15, mb: int = 4) -> Iterator[pa.Table]:
+    """Rows that come sorted by their first `keys` columns, in tables of whole groups and about so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= mb << 20:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = np.ones(t.num_rows, bool)
+            for k in range(keys):
+                last &= pc.equal(t.column(k), t.column(k)[-1]).to_numpy()
+            cut = int(np.argmax(last))  # the last group may go on in the next batch
+            if cut:
+                yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def fixed(column: pa.ChunkedArray, dtype: type, width: int) -> np.ndarray:
+    """Binaries of `width` items each, as a (rows, width) array."""
+    joined = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(joined.to_pylist()), dtype).reshape(len(joined), width)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -115,8 +115,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
         kept = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).where("id is not null and v is not null")
         return kept.mapInArrow(encode, "id long, code binary")
 
-    bounded_batches(spark, rows=10_000, mb=8)
-    ids = written(coded(rows), "op10-codes")
+    with bounded_batches(spark, rows=10_000, mb=8):
+        ids = written(coded(rows), "op10-codes")
     asked = coded(queries).groupBy("id").agg(F.min("code").alias("code"))
     # The k + 1 least ids of each code: first within salted parts, so that a hot code's rows are sorted by many tasks.
     part = ids.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))

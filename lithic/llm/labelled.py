@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, text_or_empty
+from ._common import bounded_batches, text_or_empty, written
 
 
 def held_out(id_col: str) -> Column:
@@ -48,6 +48,6 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], threshold:
             p = np.clip(np.nan_to_num(score(pc.fill_null(b.column(2), "").cast(pa.string())), nan=0.0), 0.0, 1.0).astype(float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
-    bounded_batches(docs.sparkSession, rows=1024, mb=mb)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), held_out(id_col).alias("_h"), text_or_empty(text_col).alias("_text"))
-    return base.mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int")
+    with bounded_batches(docs.sparkSession, rows=1024, mb=mb):
+        return written(base.mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int"), "scores")

@@ -3,12 +3,14 @@
 1. Each text becomes the set of its hashed word shingles; equal sets fall together by a 128-bit digest of the set, so
    a group of copies goes on as one node. A node keeps HASHES minima: whole ones make BANDS band keys, and the low
    BITS bits of each are packed into the signature.
-2. Nodes that share a band key are candidates. Within a bucket the bit counts of two signatures' difference give the
-   similarity, corrected for chance collisions of BITS bits; a breadth-first search over the implicit graph of pairs
-   near enough (the threshold less MARGIN standard errors) gives a spanning forest, never the pairs themselves.
-   Buckets above BLOCK nodes are dealt out as pairs of blocks, so no task holds more than two blocks and none is left out.
+2. Nodes that share a band key are candidates. Buckets of the same nodes fall together (copies meet in most bands).
+   Within a bucket the bit counts of two signatures' difference give the similarity, corrected for chance collisions of
+   BITS bits; a breadth-first search over the implicit graph of pairs near enough (the threshold less MARGIN standard
+   errors) gives a spanning forest, never the pairs themselves. Many buckets are searched at once, a node of each in a
+   step. Buckets above BLOCK nodes are dealt out as pairs of blocks, so no task need hold more than two and none is left out.
 3. The forests' components hold every pair that may be linked. Their members' full sets are fetched, and the same
-   search on exact intersections confirms the links. Components above BLOCK_SHINGLES go as pairs of blocks, too.
+   search on exact intersections confirms the links. Components above MEMBERS nodes or BLOCK_SHINGLES go as pairs of
+   blocks, too.
 
 A pair at the threshold shares no band with a chance of (1 - s^ROWS)^BANDS: 6e-11 at 0.85, 5e-8 at 0.8. Its estimate falls
 below the margin with one of 5e-10 or 3e-10. Together: 6e-10 at 0.85, 5e-8 at 0.8.
@@ -20,21 +22,20 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, text_or_empty, written
+from ._common import bounded_batches, fixed, text_or_empty, whole_groups, written
 from .graph import components
 from .routing import routed
 
 HASHES, BITS, ROWS = 128, 4, 4
 BANDS = HASHES // ROWS
 MARGIN = 7.0
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK, MEMBERS, BLOCK_SHINGLES = 2048, 256, 1 << 20
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(20240301).integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64)
 
@@ -92,9 +93,9 @@ def packed(low: np.ndarray) -> np.ndarray:
 _LANE = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS)))
 
 
-def estimated(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Similarity of one packed signature with each of many: bit counts of the difference, less chance collisions."""
-    x = one ^ many
+def estimated(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Similarity of packed signatures, row by row: bit counts of the difference, less chance collisions."""
+    x = one ^ other
     for step in [1 << k for k in range(BITS.bit_length() - 1)][::-1]:
         x = x | (x >> np.uint64(step))
     same = 1 - np.bitwise_count(x & _LANE).sum(1) / HASHES
@@ -102,21 +103,69 @@ def estimated(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of an implicit graph. near(i, others) tells which of `others` are neighbours of i.
+def forests(bucket: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of spanning forests of implicit graphs, one for each run of equal values in `bucket`.
 
-    A node is compared with the nodes that no search has reached yet, so a dense group costs few rounds.
+    near(i, j) tells which nodes i and j, pairs of one bucket, are neighbours. In each step one node of each bucket that
+    has unreached nodes left is compared with those, so a dense group costs few steps and no pair is looked at twice.
     """
-    left = np.arange(n)
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            hit = near(i, left)
-            queue += left[hit].tolist()
-            for j in left[hit]:
-                yield i, int(j)
-            left = left[~hit]
+    row, reached = np.arange(len(bucket)), np.zeros(len(bucket), bool)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(row):
+        change = np.ones(len(row), bool)
+        change[1:] = bucket[row[1:]] != bucket[row[:-1]]
+        start, of = np.flatnonzero(change), np.cumsum(change) - 1
+        first = np.where(reached[row], row, row + len(bucket))  # reached nodes go first, else a new tree begins
+        chosen = np.minimum.reduceat(first, start) % len(bucket)
+        open_ = ~reached[row] & (row != chosen[of])
+        i, j = chosen[of][open_], row[open_]
+        hit = near(i, j) if len(i) else np.zeros(0, bool)
+        out.append((i[hit], j[hit]))
+        reached[j[hit]] = True
+        keep = row != chosen[of]
+        row, of = row[keep], of[keep]
+        unreached = np.bincount(of[~reached[row]], minlength=len(start)) > 0
+        row = row[unreached[of]]
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """The number of each row's run of equal rows."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= (c[1:] != c[:-1]) if c.ndim == 1 else (c[1:] != c[:-1]).any(1)
+    return np.cumsum(change)
+
+
+def linked_sets(bucket: np.ndarray, sizes: np.ndarray, items: np.ndarray, least_part: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """near() for forests(): whether 10,000 * intersection >= least_part * union. items: the sets one after another."""
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(bucket, sizes)
+    order = np.lexsort((items, owner))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (items[order][1:] != items[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    code = np.empty(len(order), np.int64)  # equal items of one bucket have one code
+    code[order] = np.cumsum(fresh) - 1
+    flag = np.zeros(int(fresh.sum()), bool)
+
+    def members(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.cumsum(sizes[rows]) - sizes[rows]
+        return code[np.repeat(starts[rows] - first, sizes[rows]) + np.arange(sizes[rows].sum())], first
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        may = np.flatnonzero(10_000 * np.minimum(sizes[i], sizes[j]) >= least_part * np.maximum(sizes[i], sizes[j]))
+        if len(may):
+            own, _ = members(np.unique(i[may]))
+            flag[own] = True
+            held, first = members(j[may])
+            both = np.add.reduceat(flag[held].astype(np.int64), first)
+            flag[own] = False
+            out[may] = 10_000 * both >= least_part * (sizes[i[may]] + sizes[j[may]] - both)
+        return out
+
+    return near
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
@@ -147,25 +196,27 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
             keys = iter(_mixed(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array([next(sign).tobytes() if f else None for f in full], pa.binary()), pa.array([next(keys) if f else None for f in full], pa.list_(pa.int64())), *b.columns[2:]], ["_id", "n", "node", "sig", "keys", *b.schema.names[2:]])
 
-    bounded_batches(spark, rows=512, mb=2)
-    signed = written(base.mapInArrow(sign, "_id long, n long, node binary, sig binary, keys array<long>" + (", _digest binary" if digest_col else "")), "op2-signatures")
+    with bounded_batches(spark, rows=512, mb=2):
+        signed = written(base.mapInArrow(sign, "_id long, n long, node binary, sig binary, keys array<long>" + (", _digest binary" if digest_col else "")), "op2-signatures")
     nodes = signed.where("node is not null and _id is not null")
     # Copies collapse here: one row for each distinct set, aggregated within the partitions first.
     classes = written(nodes.groupBy("node").agg(F.min("_id").alias("least"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "op2-classes")
 
     keyed = classes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(keyed.join(shared, "key").select("key", "node", "size"), "op2-members")
-    dealt = blocks(members, "key", F.col("size"), BLOCK, "node").join(classes.select("node", "sig"), "node")
-
-    def near_forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        names = pdf["node"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint64).reshape(len(pdf), -1)
-        edges = list(forest(len(pdf), lambda i, rest: estimated(sig[i], sig[rest]) >= enough))
-        return pd.DataFrame({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]})
-
-    likely = components(dealt.groupBy("key", "pair").applyInPandas(near_forest, "a binary, b binary"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *same).where("size > 1")
+    once = shared.groupBy("size", "x1", "x2").agg(F.min("key").alias("key"))  # one of the buckets that hold the same nodes
+    members = written(keyed.join(once, "key").select("key", "node", "size"), "op2-members")
+    dealt = blocks(members, "key", F.col("size"), BLOCK, "node").join(classes.select("node", "sig"), "node").select("key", "pair", "node", "sig")
+
+    def near_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            sig = fixed(t.column(3), np.uint64, HASHES * BITS // 64)
+            a, b = forests(runs(t.column(0).to_numpy(), t.column(1).to_numpy()), lambda i, j: estimated(sig[i], sig[j]) >= enough)  # noqa: B023
+            yield pa.RecordBatch.from_arrays([t.column(2).combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
+
+    with bounded_batches(spark, rows=8192, mb=4):
+        likely = components(dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "node").mapInArrow(near_forest, "a binary, b binary"))
     likely = written(likely, "op2-likely")
 
     # Full sets of the members of likely components only, made anew from their texts.
@@ -180,41 +231,25 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
 
     texts = routed(base.where("_id is not null"), "_id", wanted.select(F.col("least").alias("_id")))
     found = texts.mapInArrow(sets, "least long, node binary, set binary").dropDuplicates(["least", "node"])
-    full = written(found.join(wanted, ["least", "node"]).select("root", "node", "set"), "op2-sets")
-    weight = full.groupBy("root").agg(F.sum(F.octet_length("set") / 8).alias("shingles"), F.count(F.lit(1)).alias("nodes"), F.max(F.octet_length("set") / 8).alias("longest"))
+    with bounded_batches(spark, rows=512, mb=4):
+        full = written(found.join(wanted, ["least", "node"]).select("root", "node", "set"), "op2-sets")
+    weight = full.groupBy("root").agg(F.sum(F.octet_length("set") / 8).alias("shingles"), F.count(F.lit(1)).alias("nodes"))
     # As many nodes to a block as keep it at BLOCK_SHINGLES on average
-    per = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) * F.col("nodes") / F.col("shingles")))
+    per = F.least(F.lit(MEMBERS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SHINGLES) * F.col("nodes") / F.col("shingles"))))
     sized = full.join(weight.select("root", "nodes", per.alias("per")), "root")
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        names = pdf["node"].to_numpy()
-        parts = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        distinct, codes = np.unique(np.concatenate(parts), return_inverse=True)
-        flag = np.zeros(len(distinct), bool)
-
-        def linked(i: int, rest: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(rest), bool)
-            small, large = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-            may = np.flatnonzero(10_000 * small >= least_part * large)
-            if len(may):
-                flag[:] = False
-                flag[codes[starts[i] : starts[i] + sizes[i]]] = True
-                r = rest[may]
-                first = np.cumsum(sizes[r]) - sizes[r]
-                held = flag[codes[np.repeat(starts[r] - first, sizes[r]) + np.arange(sizes[r].sum())]]
-                both = np.add.reduceat(held.astype(np.int64), first)
-                out[may] = 10_000 * both >= least_part * (sizes[i] + sizes[r] - both)
-            return out
-
-        edges = list(forest(len(pdf), linked))
-        return pd.DataFrame({"a": [names[i] for i, _ in edges], "b": [names[j] for _, j in edges]})
-
-    bounded_batches(spark, rows=512, mb=4)
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 2):
+            bucket = runs(fixed(t.column(0), np.uint64, 2), t.column(1).to_numpy())
+            sets = t.column(3).combine_chunks()
+            sizes = pc.binary_length(sets).to_numpy().astype(np.int64) // 8
+            items = np.frombuffer(b"".join(sets.to_pylist()), np.uint64)
+            a, b = forests(bucket, linked_sets(bucket, sizes, items, least_part))
+            yield pa.RecordBatch.from_arrays([t.column(2).combine_chunks().take(pa.array(x)) for x in (a, b)], ["a", "b"])
+
     dealt = blocks(sized, "root", F.col("nodes"), F.col("per"), "node", "set")
-    links = components(dealt.groupBy("root", "pair").applyInPandas(confirm, "a binary, b binary"))
+    with bounded_batches(spark, rows=2048, mb=4):
+        links = components(dealt.repartition("root", "pair").sortWithinPartitions("root", "pair", "node").mapInArrow(confirm, "a binary, b binary"))
     known = classes.select("node", "least").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = written(known.join(first, "root").select("node", "component_id"), "op2-components")

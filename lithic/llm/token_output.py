@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, fresh_path, text_or_empty
+from ._common import bounded_batches, fresh_path, text_or_empty, written
 
 MAGIC, LANES = b"LBP1", 64
 FILE_TOKENS, BLOCK = 4 << 20, 4096
@@ -278,12 +278,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 state["held"] += len(ids)
         yield from flush()
 
-    bounded_batches(spark, rows=1024, mb=4)
     encoded = base.mapInArrow(encode, "shard int, id long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
     manifest_path = fresh_path(spark, "op5-manifest")
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)  # an empty table writes no file, but can be read
-    encoded.mapInArrow(write, "shard int, file int, path string, documents long, ids long").write.parquet(manifest_path)
+    with bounded_batches(spark, rows=1024, mb=4):
+        encoded.mapInArrow(write, "shard int, file int, path string, documents long, ids long").write.parquet(manifest_path)
     manifest = spark.read.parquet(manifest_path)
     # One number for each shard comes to the driver, no more than the job has tasks.
     totals = {r["shard"]: r["n"] for r in manifest.groupBy("shard").agg(F.sum("ids").alias("n")).collect()}
@@ -311,9 +311,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[i:j]) for i, j in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(begins + start), pa.array(file.lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    bounded_batches(spark, rows=1)
-    # The manifest has one short row for each file of up to 4 million ids.
-    return starts.join(content, "_name").select("start", "content").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # The manifest has one short row for each file of up to 4 million ids; a batch is one file.
+    with bounded_batches(spark, rows=1):
+        return written(starts.join(content, "_name").select("start", "content").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long"), "op5-read")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:

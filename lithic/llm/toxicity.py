@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ._common import bounded_batches
+from ._common import bounded_batches, written
 from .labelled import scored, training_sample
 
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 17, 4
@@ -148,8 +148,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
     """(doc_id, held_out, score, predicted) for each row of `docs`, scored from its whole text.
 
     Learns from a bounded sample of the labelled rows that aren't held out. A null text counts as empty; an empty
-    text gets the model's bias alone, so equal texts always score alike. Without any label every score is 0.5 at
-    most by the bias 0. Other columns aren't read; an empty table gives no rows.
+    text gets the model's bias alone, so equal texts always score alike. Without any label the scores are those
+    of the untrained table. Other columns aren't read; an empty table gives no rows.
     """
     weights, bias = _fitted(docs, labels, label_col, rows_per_label, sample_mb)
     kept = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS floats, whatever the input
@@ -157,7 +157,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", thres
 
 
 def toxic_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """`docs` less the rows that score at `threshold` or more: a filter in the scan, no join. All columns are kept."""
+    """`docs` less the rows that score at `threshold` or more, written in one pass without a join. All columns are kept."""
     weights, bias = _fitted(docs, labels, "toxic", ROWS_PER_LABEL, SAMPLE_MB)
     kept, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
 
@@ -165,5 +165,5 @@ def toxic_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, tex
         for b in batches:
             yield b.filter(pa.array(probabilities(pc.fill_null(b.column(at), "").cast(pa.string()), kept.value, bias) < threshold))
 
-    bounded_batches(docs.sparkSession, rows=1024, mb=4)
-    return docs.mapInArrow(run, docs.schema)
+    with bounded_batches(docs.sparkSession, rows=1024, mb=4):
+        return written(docs.mapInArrow(run, docs.schema), "op3-kept")

@@ -409,12 +409,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             if seen:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["_host", "_layout", "_node", "_all", "_same"])
 
-    bounded_batches(spark, rows=512, mb=4)
     ballots = by_layout(full, pivots).select("_host", "_layout", "_html", "_pivot").mapInArrow(align, "_host string, _layout long, _article binary, _votes binary")
     once = ballots.groupBy("_host", "_layout", "_article").agg(F.min("_votes").alias("_votes"))  # one vote for each article
     counts = once.select("_host", "_layout", "_votes").mapInArrow(count, "_host string, _layout long, _node long, _all long, _same long")
     nodes = counts.groupBy("_host", "_layout", "_node").agg(F.sum("_all").alias("_all"), F.sum("_same").alias("_same")).where((F.col("_all") >= PAGES) & (F.col("_same") >= SAME * F.col("_all")))
-    templates = written(nodes.groupBy("_host", "_layout").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "op7-templates")  # a pivot's nodes at most
+    with bounded_batches(spark, rows=512, mb=4):
+        templates = written(nodes.groupBy("_host", "_layout").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "op7-templates")  # a pivot's nodes at most
     wrappers = pivots.join(templates, ["_host", "_layout"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,4 +429,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     rows = by_layout(base, wrappers).select("_id", "_url", "_host", "_html", "_pivot", "_nodes")
-    return rows.mapInArrow(read, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
+    with bounded_batches(spark, rows=512, mb=4):
+        return written(rows.mapInArrow(read, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"), "op7-texts")
