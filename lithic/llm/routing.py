@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 ROUTE_WORDS = 1 << 20
 
 
-def _flagged(rows: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
+def flagged(rows: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
+    """`rows` with `_may`: whether `column` may be among `keys` (same name). how: left, or inner to leave most others out."""
     h = F.xxhash64(F.col(column))
     word, bit = F.floor(F.pmod(h, F.lit(ROUTE_WORDS * 64)) / 64).cast("long"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), 64) as int))")
     table = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
@@ -21,11 +22,11 @@ def routed(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
     The rest never leaves its partition. The caller joins exactly afterwards.
     """
-    return _flagged(rows, column, keys, "inner").where("_may").drop("_may")
+    return flagged(rows, column, keys, "inner").where("_may").drop("_may")
 
 
 def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """`rows` whose `column` isn't among `keys` (same name). Only rows that may be among them are shuffled; nulls stay."""
-    flagged = _flagged(rows, column, keys, "left")
-    unsure = flagged.where("_may").drop("_may").join(keys.select(column).distinct(), column, "left_anti")
-    return flagged.where("not _may").drop("_may").unionByName(unsure)
+    marked = flagged(rows, column, keys, "left")
+    unsure = marked.where("_may").drop("_may").join(keys.select(column).distinct(), column, "left_anti")
+    return marked.where("not _may").drop("_may").unionByName(unsure)
