@@ -18,6 +18,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -37,14 +38,18 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}}
 SCOPE = frozenset("ul ol dl table tr td th article main section aside nav footer header body html div form".split())
 #: Words of class, id and role that name parts which aren't the article.
-MARKS = re.compile(
-    r"(?:^|[-_\s])(?:nav(?:igation|bar)?|menus?|header|masthead|banner|footer|side-?bar|aside|ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:tion|s)?|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|search|breadcrumbs?|pagination|pager|share|sharing|social|related|recommended|comments?|disqus|replies|respond|complementary|contentinfo|skip-?link)(?:$|[-_\s\d])",
-    re.I,
+MARKS = frozenset(
+    "nav navigation navbar menu menus header masthead banner footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsors sponsored promo promos promotion "
+    "promotions cookie cookies consent notice notices alert alerts popup modal newsletter subscribe signup login search breadcrumb breadcrumbs pagination pager share sharing social "
+    "related recommended comment comments disqus reply replies respond complementary contentinfo skiplink".split()
 )
 #: Of these, words that name parts which may hold more text than the article, or articles of their own.
-OTHERS = re.compile(r"(?:^|[-_\s])(?:related|recommended|comments?|disqus|replies|respond|promo(?:tion|s)?|sponsor(?:ed|s)?|ads?|advert(?:s|isement|ising)?)(?:$|[-_\s\d])", re.I)
+OTHERS = frozenset("related recommended comment comments disqus reply replies respond promo promos promotion promotions sponsor sponsors sponsored ad ads advert adverts advertisement advertising".split())
+#: Words that tell where or how a part stands: a name of marks and these is a mark, one with any other word isn't.
+PLAIN = frozenset("list lists item items box boxes wrap wrapper container section block area bar top bottom left right site page global inner outer widget panel row col column link links button buttons icons title heading text form group post posts article articles stories user reader main wp js".split())
 #: Words of a class that tell of the page what it has or lacks.
 STATE = re.compile(r"(?:^|(?<=\s))(?:has|have|no|with|without)[-_]\S+", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A node is template if its text is the same on this share of at least so many aligned pages of distinct text besides the pivot.
 SAME, PAGES = 0.8, 4
@@ -52,14 +57,28 @@ SAME, PAGES = 0.8, 4
 ALIKE = 0.75
 
 
+def _parts(name: str) -> list[str]:
+    """Words of a class or id: side-bar and skip-link are one word each."""
+    words = [w.lower() for w in _PART.findall(name)]
+    return " ".join(words).replace("side bar", "sidebar").replace("skip link", "skiplink").split()
+
+
+@lru_cache(1 << 14)
+def _marked(name: str, marks: frozenset[str] = MARKS) -> bool:
+    """Whether a class, id or role names a part: comments-list and cookie-consent do, share-prices doesn't."""
+    parts = _parts(name)
+    return any(w in marks for w in parts) and all(w in MARKS or w in PLAIN for w in parts)
+
+
 class Node:
-    __slots__ = ("tag", "label", "children", "off", "mark", "shape", "number")
+    __slots__ = ("tag", "label", "children", "kids", "off", "mark", "shape", "size", "number")
 
     def __init__(self, tag: str, mark: str = "", off: bool = False):
         self.tag, self.label, self.off = tag, f"{tag}.{mark}" if mark else tag, off
         self.mark = ""  # what switches the node off if nothing but its marks does
         self.children: list[Node | str] = []
-        self.shape: int = 0
+        self.kids: list[Node] = []
+        self.shape, self.size = 0, 1
         self.number = -1
 
 
@@ -78,11 +97,10 @@ class _Builder(HTMLParser):
             for t in ENDS_BEFORE[tag]:
                 self._close(t, stop=frozenset("ul ol dl table".split()))
         mark = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        node = Node(tag, mark, tag in SILENT or tag in NO_ARTICLE or hidden)
-        if not node.off and tag not in ("html", "body", "article", "main") and (named := STATE.sub(" ", mark)) and MARKS.search(named):
+        node = Node(tag, mark, tag in SILENT or tag in NO_ARTICLE)
+        if not node.off and tag not in ("html", "body", "article", "main") and (named := STATE.sub(" ", mark)) and any(map(_marked, named.split())):
             node.off, node.mark = True, named
-        if tag in ("article", "main") and mark and re.search(r"(?:^|[-_\s])(?:comments?|related|promo|ads?)(?:$|[-_\s\d])", mark, re.I):
+        if tag in ("article", "main") and any(_marked(w, OTHERS) for w in mark.split()):
             node.off = True
         self.stack[-1].children.append(node)
         if tag not in VOID:
@@ -124,7 +142,9 @@ def parse(html: str) -> Node:
         todo += [c for c in reversed(n.children) if isinstance(c, Node)]
     _give_back(order)
     for n in reversed(order):
-        n.shape = hash((n.label, *(c.shape for c in n.children if isinstance(c, Node))))
+        n.kids = [c for c in n.children if isinstance(c, Node)]
+        n.size = 1 + sum(c.size for c in n.kids)
+        n.shape = hash((n.label, *(c.shape for c in n.kids)))
     return b.root
 
 
@@ -160,7 +180,7 @@ def _give_back(order: list[Node]) -> None:
             continue
         k = n.number
         most = 2 * size[k] > size[0]
-        if OTHERS.search(n.mark):
+        if any(_marked(w, OTHERS) for w in n.mark.split()):
             n.off = not (most and (mains[k] or articles[k]) and not open_articles)
         else:
             whole = articles[k] and articles[k] == articles[0] and not open_articles
@@ -169,62 +189,91 @@ def _give_back(order: list[Node]) -> None:
 
 def _partly(mark: str) -> bool:
     """Whether every mark in a class or id is but a part of a name whose other parts aren't marks."""
-    hits = [w for w in mark.split() if MARKS.search(w)]
-    return all(any(not MARKS.search(p) for p in re.split(r"[-_\d]+", w) if p) and not re.fullmatch(r"side-?bar|skip-?link", w, re.I) for w in hits)
+    return all(any(p not in MARKS for p in _parts(w)) for w in mark.split() if _marked(w))
 
 
 def own_text(n: Node) -> str:
-    """Text that stands in the node itself, with that of its inline children's places left open."""
-    return " ".join(" ".join(c for c in n.children if isinstance(c, str)).split())
+    """Text of a block: what stands in the node and in inline elements within it, without that of blocks within it."""
+    out: list[str] = []
+    todo: list[Node | str] = list(reversed(n.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            out.append(" ")
+            if x.tag in INLINE:
+                todo += reversed(x.children)
+    return " ".join("".join(out).split())
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of nodes by simple tree matching: equal roots, and an ordered matching of children of the greatest size."""
-    memo: dict[tuple[int, int], int] = {}
+    """Pairs of nodes by simple tree matching: equal roots, and an ordered matching of children of the greatest size.
 
-    def kids(n: Node) -> list[Node]:
-        return [c for c in n.children if isinstance(c, Node)]
+    Subtrees of equal shape match node by node, which no other matching exceeds, so only the rest is worked out, and
+    without recursion, so depth is not bounded.
+    """
+    memo: dict[tuple[int, int], int] = {}
 
     def ends(x: list[Node], y: list[Node]) -> tuple[int, int]:
         """Children of equal shape at the start and the end match each other in a greatest matching."""
-        head = 0
-        while head < min(len(x), len(y)) and x[head].shape == y[head].shape:
+        head, short = 0, min(len(x), len(y))
+        while head < short and x[head].shape == y[head].shape:
             head += 1
         tail = 0
-        while tail < min(len(x), len(y)) - head and x[-1 - tail].shape == y[-1 - tail].shape:
+        while tail < short - head and x[-1 - tail].shape == y[-1 - tail].shape:
             tail += 1
         return head, tail
 
-    def table(x: list[Node], y: list[Node], depth: int) -> list[list[int]]:
+    def known(p: Node, q: Node) -> int | None:
+        """Size of the greatest matching of two subtrees, if it is known."""
+        if p.label != q.label:
+            return 0
+        return p.size if p.shape == q.shape else memo.get((p.number, q.number))
+
+    def table(x: list[Node], y: list[Node]) -> list[list[int]]:
         m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(1, len(x) + 1):
             for j in range(1, len(y) + 1):
-                w = size(x[i - 1], y[j - 1], depth + 1)
+                w = known(x[i - 1], y[j - 1])
                 m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w if w else 0)
         return m
 
-    def size(p: Node, q: Node, depth: int) -> int:
-        if p.label != q.label:
-            return 0
-        key = (p.number, q.number)
-        if key not in memo:
-            x, y = kids(p), kids(q)
-            h, t = ends(x, y)
-            memo[key] = 1 + sum(size(x[i], y[i], depth + 1) for i in range(h)) + sum(size(x[-1 - i], y[-1 - i], depth + 1) for i in range(t)) + table(x[h : len(x) - t], y[h : len(y) - t], depth)[-1][-1] if depth < 200 else 1
-        return memo[key]
-
-    pairs, todo = [], [(a, b, 0)]
+    def rest(p: Node, q: Node) -> tuple[list[Node], list[Node], int, int]:
+        """Children that aren't matched by shape, and how many are, at the start and at the end."""
+        h, t = ends(p.kids, q.kids)
+        return p.kids[h : len(p.kids) - t], q.kids[h : len(q.kids) - t], h, t
+
+    def work_out(a: Node, b: Node) -> None:
+        todo = [(a, b)]
+        while todo:
+            p, q = todo[-1]
+            if known(p, q) is not None:
+                todo.pop()
+                continue
+            x, y, h, t = rest(p, q)
+            open_ = [(c, d) for c in x for d in y if known(c, d) is None]
+            if open_:
+                todo += open_
+                continue
+            memo[p.number, q.number] = 1 + sum(c.size for c in p.kids[:h]) + sum(c.size for c in p.kids[len(p.kids) - t :]) + table(x, y)[-1][-1]
+            todo.pop()
+
+    work_out(a, b)
+    pairs, todo = [], [(a, b)]
     while todo:
-        p, q, depth = todo.pop()
-        if p.label != q.label or depth > 200:
+        p, q = todo.pop()
+        if p.label != q.label:
             continue
         pairs.append((p, q))
-        x, y = kids(p), kids(q)
-        h, t = ends(x, y)
-        todo += [(x[i], y[i], depth + 1) for i in range(h)] + [(x[-1 - i], y[-1 - i], depth + 1) for i in range(t)]
-        x, y = x[h : len(x) - t], y[h : len(y) - t]
+        if p.shape == q.shape:
+            todo += zip(p.kids, q.kids, strict=True)
+            continue
+        x, y, h, t = rest(p, q)
+        todo += zip(p.kids[:h], q.kids[:h], strict=True)
+        todo += zip(p.kids[len(p.kids) - t :], q.kids[len(q.kids) - t :], strict=True)
         if x and y:
-            m = table(x, y, depth)
+            m = table(x, y)
             i, j = len(x), len(y)
             while i and j:
                 if m[i][j] == m[i - 1][j]:
@@ -232,13 +281,16 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 elif m[i][j] == m[i][j - 1]:
                     j -= 1
                 else:
-                    todo.append((x[i - 1], y[j - 1], depth + 1))
+                    todo.append((x[i - 1], y[j - 1]))
                     i, j = i - 1, j - 1
     return pairs
 
 
 def main_text(root: Node, template: set[int] | None = None) -> str:
-    """Text of a page less its template nodes: blocks in page order, one a line. template: numbers of its own nodes."""
+    """Text of a page less its template blocks: blocks in page order, one a line. template: numbers of its own nodes.
+
+    A block is template with all its inline elements, or not at all: nothing is cut out of a sentence.
+    """
     template = template or set()
 
     def tops(n: Node, tags: tuple[str, ...]) -> list[Node]:
@@ -255,23 +307,21 @@ def main_text(root: Node, template: set[int] | None = None) -> str:
 
     def text(starts: list[Node]) -> str:
         blocks: list[list[str]] = [[]]
-        todo: list[Node | str | None] = list(reversed(starts))
+        todo: list[tuple[Node | str | None, bool]] = [(x, False) for x in reversed(starts)]
         while todo:
-            x = todo.pop()
+            x, gone = todo.pop()  # gone: whether the block around is template
             if x is None:
                 blocks.append([])
             elif isinstance(x, str):
-                blocks[-1].append(x)
-            elif x.off:
-                blocks[-1].append(" ")
-            elif x.tag in INLINE:
-                todo += [c for c in reversed(x.children) if isinstance(c, Node) or x.number not in template]
-            elif x.tag == "br":
+                blocks[-1].append("" if gone else x)
+            elif x.off or x.tag == "br":
                 blocks[-1].append(" ")
             else:
-                blocks.append([])
-                todo.append(None)
-                todo += [c for c in reversed(x.children) if isinstance(c, Node) or x.number not in template]
+                if x.tag not in INLINE:
+                    blocks.append([])
+                    todo.append((None, False))
+                    gone = x.number in template
+                todo += [(c, gone) for c in reversed(x.children)]
         lines = (" ".join("".join(b).split()) for b in blocks)
         return "\n".join(x for x in lines if x)
 
@@ -392,7 +442,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     continue
                 votes = []
                 for mine, its in match(root, its_root):
-                    if words := own_text(its):
+                    if its.tag not in INLINE and (words := own_text(its)):
                         votes.append(2 * its.number + (own_text(mine) == words))
                 rows.append((h, layout, hashlib.sha256(article.encode("utf-8", "surrogatepass")).digest(), np.array(sorted(votes), ">i4").tobytes()))
             if rows:
@@ -424,7 +474,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 root, own = parse(html), set()
                 if nodes and pivot:
                     constant = set(nodes)
-                    own = {mine.number for mine, its in match(root, _pivot(h, pivot)) if its.number in constant and own_text(mine) == own_text(its)}
+                    own = {mine.number for mine, its in match(root, _pivot(h, pivot)) if its.number in constant and own_text(mine) == own_text(its)}  # blocks
                 out.append(main_text(root, own))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
 

@@ -57,3 +57,54 @@ def test_marks_around_the_article():
     for part in (f"<div class=sidebar>{more}</div>", f"<div class=related><article>{more}</article></div>", f"<div id=comments-list>{more}</div>", f"<div class='cookie-consent'>{more}</div>"):
         inner = f"<article>{story}</article>" if "article" in part else story
         assert text(f"<body><div>{inner}</div>{part}</body>") == want, part
+
+
+def test_induction_decides(spark, monkeypatch):
+    """Unmarked template blocks go only by induction; parts named by other words stay; no word is cut out of a sentence."""
+    import lithic.llm.wrapper as W
+
+    def page(k):
+        return f"<body><div class=top><p>Our <a href=/>paper</a> since 1900</p></div><div class=text><h1>head {k}</h1><p>story {k} <b>Note:</b> the rest</p><section class=share-prices><p>prices {k}</p></section><section id=related-work><p>works {k}</p></section></div><div class=end><ul><li><a>Terms</a><li><a>Jobs</a></ul></div></body>"
+
+    pages = [page(k) for k in range(8)]
+    want = [f"head {k}\nstory {k} Note: the rest\nprices {k}\nworks {k}" for k in range(8)]
+    assert texts(spark, pages) == want
+    monkeypatch.setattr(W, "SAME", 2.0)  # no node is ever the same on so many pages
+    assert texts(spark, pages) == [f"Our paper since 1900\n{w}\nTerms\nJobs" for w in want]
+
+
+def test_names_of_parts():
+    from lithic.llm.wrapper import _marked
+
+    assert all(map(_marked, ["comments-list", "cookie-consent", "ad", "ad-2", "sideBar", "side-bar", "site-footer", "related-posts", "commentList", "skip-link"]))
+    assert not any(map(_marked, ["share-prices", "related-work", "content-sidebar-wrap", "site-header-fixed", "download", "searching", "story", "12", ""]))
+
+
+def test_tree_matching_against_all_matchings():
+    """Size of the matching against every ordered matching of children, and no bound on depth."""
+    import random
+    from functools import cache
+
+    from lithic.llm.wrapper import match
+
+    def tree(rng, depth):
+        return f"<{(t := rng.choice('ab'))}1>" + "".join(tree(rng, depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{t}1>"
+
+    @cache
+    def most(p, q):
+        if p.label != q.label:
+            return 0
+
+        def best(i, j):
+            if i == len(p.kids) or j == len(q.kids):
+                return 0
+            return max(best(i + 1, j), best(i, j + 1), most(p.kids[i], q.kids[j]) + best(i + 1, j + 1) if p.kids[i].label == q.kids[j].label else 0)
+
+        return 1 + best(0, 0)
+
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = (parse("".join(tree(rng, 3) for _ in range(2))) for _ in range(2))
+        assert len(match(a, b)) == most(a, b)
+    deep = [parse("<div>" * 3000 + x) for x in ("<p>a</p>", "<p>b</p><ul></ul>")]
+    assert len(match(*deep)) == 3002
