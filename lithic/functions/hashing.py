@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def digest(*parts: Column | str) -> Column:
-    """`sha256:` and the hex digest of the parts joined by ':'. Null parts are skipped."""
-    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts]), 256))
+    """`sha256:` and the hex digest of the parts joined by ':'. A null part stands as a NUL, so its place counts."""
+    marked = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\0")) for p in parts]
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(":", *marked), 256))
 
 
 def _hex_number(value: Column, digits: int) -> Column:

@@ -55,8 +55,14 @@ def is_permutation(s: Column, letters: str, least: int) -> Column:
     return s.rlike(f"^[{letters}]{{{least},{len(letters)}}}$") & (F.size(F.array_distinct(F.split(s, ""))) == F.length(s))
 
 
+def require_known(task: Column) -> Column:
+    """The task itself; a run that meets one without a grammar fails and names it. A null task stays null."""
+    known = task.isNull() | task.isin(*RANKINGS, *PATTERNS, *CHOICES)
+    return F.when(known, task).otherwise(F.raise_error(F.concat(F.lit("unknown task: "), task)).cast("string"))
+
+
 def parse_answer(task: Column, output: Column) -> Column:
-    """The trimmed answer if it fits the task's grammar, else null. Unknown tasks are null; require_known() names them."""
+    """The trimmed answer if it fits the task's grammar, else null. Unknown tasks are null; require_known() stops at them."""
     s = F.trim(output, F.lit(" \t\r\n"))
     out = F.lit(None).cast("string")
     for name, (letters, least) in RANKINGS.items():

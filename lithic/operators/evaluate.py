@@ -17,11 +17,16 @@ def latest(predictions: DataFrame, key: str, position: str, output: str) -> Data
     return predictions.groupBy(key).agg(F.max_by(F.col(output), F.col(position)).alias(output))
 
 
-def scored(rows: DataFrame, predictions: DataFrame, key: str = "id", unwrap: bool = True) -> DataFrame:
-    """Rows with `output` ('' if missing), `parsed` (null if invalid) and `correct`."""
-    joined = rows.join(predictions, key, "left").withColumn("output", F.coalesce("output", F.lit("")))
+def scored(rows: DataFrame, predictions: DataFrame, key: str = "id", unwrap: bool = True, position: str = "position") -> DataFrame:
+    """Rows with `output` ('' if missing), `parsed` (null if invalid) and `correct`.
+
+    Of several predictions for a row the last by `position` counts; without that column the greatest output does, so
+    every row stands once and reruns agree. A task without a grammar stops the run.
+    """
+    by = position if position in predictions.columns else "output"
+    joined = rows.join(latest(predictions, key, by, "output"), key, "left").withColumn("output", F.coalesce("output", F.lit("")))
     text = P.candidate(F.col("output")) if unwrap else F.col("output")
-    joined = joined.withColumn("parsed", P.parse_answer(F.col("task_type"), text))
+    joined = joined.withColumn("parsed", P.parse_answer(P.require_known(F.col("task_type")), text))
     return joined.withColumn("correct", F.coalesce(F.col("parsed") == F.col("answer"), F.lit(False)))
 
 

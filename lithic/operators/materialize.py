@@ -17,28 +17,41 @@ PROMPTS = {
 }
 
 
-def task_rows(geometries: DataFrame, required_mm: float = 1.0) -> DataFrame:
-    """One row per valid geometry and task, numbered within each task by geometry_id."""
+def task_rows(geometries: DataFrame, required_mm: float = 1.0, number: bool = True) -> DataFrame:
+    """One row per valid geometry and task; with `number` also `id`, the task and a dense number by geometry_id.
+
+    Every valid geometry has a row of every task, so geometries are numbered, once, not their rows.
+    """
     rel, norm, d = F.col("relation"), F.col("norm"), F.col("distance")
     answers = {"binary_interference": L.binary_answer(rel), "relation_classification": rel, "volume_bucket": L.volume_bucket(norm), "clearance_bucket": L.clearance_bucket(rel, d), "tolerance_fit": L.tolerance_fit(d, required_mm)}
     tasks = F.array(*[F.struct(F.lit(t).alias("task_type"), a.alias("answer")) for t, a in answers.items()])
-    rows = geometries.where(rel != "invalid").select("geometry_id", "pair_id", "strategy", "relation", F.explode_outer(tasks).alias("t")).select("*", "t.*").drop("t")
-    return numbered(rows, "task_type", "geometry_id")
+    valid = geometries.where(rel != "invalid")
+    if number:
+        valid = numbered(valid.withColumn("_all", F.lit("")), "_all", "geometry_id")
+    rows = valid.select("geometry_id", "pair_id", "strategy", "relation", *(["id"] if number else []), F.explode_outer(tasks).alias("t")).select("*", "t.*").drop("t")
+    return rows.withColumn("id", F.concat("task_type", "id")) if number else rows
 
 
-def numbered(rows: DataFrame, task: str, order: str, ranges: int = 64) -> DataFrame:
-    """`id` = task and a dense number from 1 in the order of `order`, which is unique within a task.
+def numbered(rows: DataFrame, task: str, order: str, ranges: int = 256) -> DataFrame:
+    """`id` = task, an underscore and a dense number from 1 in the order of `order`, which is unique within a task.
 
-    A window over a whole task would be one task's work. The order is cut into ranges by a bounded sample of its values;
-    a row's number is its rank within its range plus the rows of earlier ranges.
+    A window over a whole task would be one task's work. The order is cut into ranges by quantiles of a sample of its
+    values, drawn by hash whatever their order and of bounded size; a row's number is its rank within its range plus the
+    rows of earlier ranges.
     """
-    sample = rows.select(order).distinct().where(F.pmod(F.xxhash64(order), F.lit(101)) == 0).orderBy(order).limit(100_000)
+    h = F.xxhash64(order)
+    sample = rows.select(order, h.alias("_h")).where(F.pmod("_h", F.lit(101)) == 0).orderBy("_h").limit(20_000).select(order)
     edges = sorted(r[0] for r in sample.collect())
-    bounds = edges[:: max(1, len(edges) // ranges)]
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order)))
-    placed = rows.withColumn("_part", part)
+    bounds = sorted(set(edges[:: max(1, len(edges) // ranges)]))
+
+    def part(low: int, high: int) -> Column:
+        """How many bounds are at or below a value, by halving; it lies in low..high."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(order) < F.lit(bounds[mid]), part(low, mid)).otherwise(part(mid + 1, high))
+
+    placed = rows.withColumn("_part", part(0, len(bounds)))
     counts = placed.groupBy(task, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(task, "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(task).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy(task, "_part").orderBy(order)))

@@ -31,18 +31,19 @@ def sealed(df: DataFrame) -> DataFrame:
     return df.select(F.inline_outer(F.array(F.struct("*"))))
 
 
-def ring_pairs(objects: DataFrame, major: str, *order: str) -> DataFrame:
-    """Each object with the next one of a ring over (major, *order): columns a_* and b_*.
+def ring_pairs(objects: DataFrame, majors: list[str], *order: str) -> DataFrame:
+    """Each object with the next one of a ring over (*majors, *order): columns a_* and b_*.
 
-    Objects are sorted within each value of `major`; only the ends of those runs, one row each, are joined across
-    runs. The list of runs is short (categories), so its window is small; a single object has no partner.
+    Objects are sorted within each run of equal `majors`; only the ends of those runs, one row each, are joined across
+    runs. The list of runs is short (combinations of categories), so its window is small; a single object has no partner.
     """
+    major = F.struct(*majors)
     cols = objects.columns
     one = F.struct(*[F.col(c) for c in cols])
-    w = Window.partitionBy(major).orderBy(*order)
-    near = objects.select(one.alias("a"), F.lead(one).over(w).alias("b"), F.col(major).alias("_run"))
-    firsts = objects.groupBy(F.col(major).alias("_run")).agg(F.min_by(one, F.struct(*[F.col(c) for c in order])).alias("_first"))
-    around = Window.orderBy(F.col("_run").asc_nulls_first())
+    w = Window.partitionBy(*majors).orderBy(*order)
+    near = objects.select(one.alias("a"), F.lead(one).over(w).alias("b"), major.alias("_run"))
+    firsts = objects.groupBy(major.alias("_run")).agg(F.min_by(one, F.struct(*[F.col(c) for c in order])).alias("_first"))
+    around = Window.orderBy(F.col("_run").asc())
     nexts = firsts.select("_run", F.coalesce(F.lead("_first").over(around), F.first("_first").over(around)).alias("_next"))
     linked = near.join(F.broadcast(nexts), near["_run"].eqNullSafe(nexts["_run"])).select("a", F.coalesce("b", "_next").alias("b"))
     same = F.lit(True)
@@ -87,10 +88,23 @@ def measured(placed: DataFrame, policy: L.LabelPolicy = L.POLICY) -> DataFrame:
     return sealed(out.withColumn("distance_status", F.when(L.interferes(F.col("relation")), "skipped_positive_overlap").otherwise("ok")))
 
 
-def overlapping_pairs(rows: DataFrame, key: str, cell: str, id_col: str) -> DataFrame:
-    """Pairs of boxes of one cell whose bounds meet, each once: an equal key first, then the interval tests."""
-    a, b = rows.select([F.col(c).alias(f"a_{c}") for c in rows.columns]), rows.select([F.col(c).alias(f"b_{c}") for c in rows.columns])
-    return a.join(b, (F.col(f"a_{cell}") == F.col(f"b_{cell}")) & (F.col(f"a_{id_col}") < F.col(f"b_{id_col}"))).where(B.overlaps("a", "b"))
+def overlapping_pairs(rows: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Pairs of boxes of one key whose bounds meet, each once.
+
+    The grid's cells are as wide as the widest box, so boxes that meet start in neighbouring cells: a box is joined from
+    the cell of its lower corner with those that start in the 27 cells around it, and only then the bounds are tested.
+    """
+    wide = rows.agg(*[F.greatest(F.lit(1e-9), F.max(F.col(f"max_{x}") - F.col(f"min_{x}"))).alias(f"_w{x}") for x in B.AXES])
+    placed = rows.crossJoin(F.broadcast(wide)).withColumns({f"_c{x}": F.floor(F.col(f"min_{x}") / F.col(f"_w{x}")).cast("long") for x in B.AXES})  # one row of widths
+    a = placed.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns], *[f"_c{x}" for x in B.AXES])
+    around = placed
+    for x in B.AXES:
+        around = around.withColumn(f"_c{x}", F.explode(F.sequence(F.col(f"_c{x}") - 1, F.col(f"_c{x}") + 1)))
+    b = around.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], *[F.col(f"_c{x}").alias(f"_d{x}") for x in B.AXES])
+    same = F.col(f"a_{key}") == F.col(f"b_{key}")
+    for x in B.AXES:
+        same = same & (F.col(f"_c{x}") == F.col(f"_d{x}"))
+    return a.join(b, same & (F.col(f"a_{id_col}") < F.col(f"b_{id_col}"))).where(B.overlaps("a", "b")).drop(*[f"_{p}{x}" for p in "cd" for x in B.AXES])
 
 
 def grid_step(x: Column) -> Column:

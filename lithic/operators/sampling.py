@@ -12,14 +12,27 @@ def _rank(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataF
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def cap_to_smallest(rows: DataFrame, part: list[str], answer: str, key: Column, classes: int | None = None) -> DataFrame:
-    """Each class of each part keeps as many rows as the smallest class has, lowest keys first.
+def _hash_rank(df: DataFrame, by: list[str], key: Column, ties: list[Column], name: str) -> DataFrame:
+    """Rank of each row within its class by a hexadecimal hash, then ties. No task sorts a class.
+
+    The hash's first digits cut a class into 4,096 ranges of equal width; a row's rank is that within its range plus the
+    rows of the class's earlier ranges, of which there is a short list.
+    """
+    cut = df.withColumn("_key", key).withColumn("_at", F.struct(*by, F.substring("_key", 1, 3).alias("_range")))
+    n = cut.groupBy("_at").agg(F.count(F.lit(1)).alias("_in"))
+    before = n.select("_at", F.coalesce(F.sum("_in").over(Window.partitionBy(*[f"_at.{c}" for c in by]).orderBy("_at._range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_at").orderBy("_key", *ties))
+    return cut.withColumn("_inside", inside).join(before, "_at").withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_at", "_before", "_inside")
+
+
+def cap_to_smallest(rows: DataFrame, part: list[str], answer: str, key: Column, ties: list[Column], classes: int | None = None) -> DataFrame:
+    """Each class of each part keeps as many rows as the smallest class has, lowest keys (hashes) first, then ties.
 
     classes: how many classes a part must have; parts that lack some stay as they are.
     """
     counts = rows.groupBy(*part, answer).agg(F.count(F.lit(1)).alias("_n"))
     least = counts.groupBy(*part).agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_k"))
-    ranked = _rank(rows, [*part, answer], [key], "_r").join(F.broadcast(least), part)
+    ranked = _hash_rank(rows, [*part, answer], key, ties, "_r").join(least, part)
     whole = F.lit(False) if classes is None else F.col("_k") < classes
     return ranked.where(whole | (F.col("_r") <= F.col("_least"))).drop("_r", "_least", "_k")
 
@@ -60,7 +73,7 @@ def relation_balanced(rows: DataFrame, relation: str, group: str, targets: dict[
     counts = rows.groupBy(relation).agg(F.count(F.lit(1)).alias("available")).join(F.broadcast(share), relation)
     whole = counts.agg((F.count(F.lit(1)) == len(targets)).alias("whole"))
     parts = apportion(counts, relation, "available", "share")
-    ranked = _rank(rows.where(F.col(relation).isin(list(targets))), [relation], [key, F.col(group)], "_r")
+    ranked = _hash_rank(rows.where(F.col(relation).isin(list(targets))), [relation], key, [F.col(group)], "_r")
     cut = ranked.join(F.broadcast(parts), relation, "left").crossJoin(F.broadcast(whole)).where(~F.col("whole") | (F.col("_r") <= F.col("part"))).drop("_r", "part", "whole")
     return cut.unionByName(rows.where(~F.coalesce(F.col(relation).isin(list(targets)), F.lit(False))))
 
@@ -75,9 +88,9 @@ def stratified(rows: DataFrame, strata: list[str], key: str, limit: int, seed: i
 def balanced_upsample(rows: DataFrame, strata: list[str], key: str, target: int, most_repeats: int = 3, seed: int = 7) -> DataFrame:
     """min(target, rows * most_repeats) rows of each stratum: whole shuffled passes are repeated, `copy` counts them from 1."""
     n = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    all_ = rows.join(F.broadcast(n), strata).withColumn("_want", F.least(F.lit(target), F.col("_n") * most_repeats))
+    all_ = rows.join(n, strata).withColumn("_want", F.least(F.lit(target), F.col("_n") * most_repeats))
     copies = all_.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_want") / F.col("_n")))))
-    ranked = _rank(copies, [*strata, "copy"], [order_key(seed, F.col("copy"), F.col(key)), F.col(key)], "_r")
+    ranked = _hash_rank(copies, [*strata, "copy"], order_key(seed, F.col("copy"), F.col(key)), [F.col(key)], "_r")
     return ranked.where((F.col("copy") - 1) * F.col("_n") + F.col("_r") <= F.col("_want")).drop("_n", "_want", "_r")
 
 

@@ -92,11 +92,15 @@ def balanced_eval_groups(rows: DataFrame, group: str, task: str, answer: str, fr
     members = rows.join(F.broadcast(kinds), task).select(group, task, answer).distinct().join(sizes, group)
     key = F.struct(stable_bucket(F.concat_ws(":", task, answer, group), seed, 1_000_000).alias("h"), F.col("size"), F.col(group).alias("g"))
     strata = members.groupBy(task, answer).agg(F.count(F.lit(1)).alias("groups"), F.min(key).alias("best")).orderBy("groups", task, answer).collect()  # a row per stratum
+    # What each stratum's candidate covers, in one job: a candidate has few rows.
+    candidates = sorted({s["best"]["g"] for s in strata})
+    held: dict[str, set[tuple]] = {g: set() for g in candidates}
+    for r in members.where(F.col(group).isin(candidates)).select(group, task, answer).collect():
+        held[r[group]].add((r[task], r[answer]))
     cover: list[str] = []
     for s in strata:
-        if cover and not members.where((F.col(task) == s[task]) & (F.col(answer) == s[answer]) & F.col(group).isin(cover)).isEmpty():
-            continue
-        cover.append(s["best"]["g"])
+        if not any((s[task], s[answer]) in held[g] for g in cover):
+            cover.append(s["best"]["g"])
     chosen = sizes.withColumn("covers", F.col(group).isin(cover) if cover else F.lit(False))
     t = chosen.agg(F.greatest(F.lit(1), F.bround(F.sum("size") * fraction)).alias("target"), F.coalesce(F.sum(F.when(F.col("covers"), F.col("size"))), F.lit(0)).alias("held"))
     rest = chosen.where("not covers").withColumn("h", stable_bucket(F.col(group), seed, 1_000_000))

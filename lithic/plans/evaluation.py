@@ -278,7 +278,7 @@ def candidate_selection_reward(spark, sf):
     UNION ALL SELECT 'answer', answer, count(*) FROM task_rows GROUP BY ALL UNION ALL SELECT 'strategy', strategy, count(*) FROM task_rows GROUP BY ALL UNION ALL SELECT 'task_answer', task_type || ':' || answer, count(*) FROM task_rows GROUP BY ALL""")
 def dataset_stats(spark, sf):
     c = F.col
-    return D.stats(task_rows(spark, sf), {"task": c("task_type"), "relation": c("relation"), "answer": c("answer"), "strategy": c("strategy"), "task_answer": F.concat("task_type", F.lit(":"), "answer")})
+    return D.stats(task_rows(spark, sf, number=False), {"task": c("task_type"), "relation": c("relation"), "answer": c("answer"), "strategy": c("strategy"), "task_answer": F.concat("task_type", F.lit(":"), "answer")})
 
 
 @query(f"WITH {_MOVES} SELECT strategy, count(*) AS n, round(min(magnitude), 6) AS least, round(avg(magnitude), 6) AS mean, round(max(magnitude), 6) AS most FROM rk WHERE pos = 1 AND relation IN ('intersecting', 'contained') GROUP BY 1")
@@ -290,7 +290,7 @@ def magnitude_stats(spark, sf):
 @query(f"""WITH {_TASKS}, c AS (SELECT task_type, answer, count(*) AS n FROM task_rows GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY task_type) AS share FROM c)
     SELECT task_type, answer, n, round(share, 6) AS share, concat_ws(',', CASE WHEN n < 30 THEN 'low_count' END, CASE WHEN share < 0.1 THEN 'low_share' END, CASE WHEN share > 0.7 THEN 'high_share' END) AS reason FROM s""")
 def answer_balance_audit(spark, sf):
-    return E.answer_balance(task_rows(spark, sf), ["task_type"], "answer")
+    return E.answer_balance(task_rows(spark, sf, number=False), ["task_type"], "answer")
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS source, o_orderkey AS shard, CASE WHEN o_orderstatus = 'F' THEN 1 END AS files, o_orderstatus AS license FROM orders)
@@ -338,7 +338,7 @@ def dedupe_first_wins(spark, sf):
 def array_union_tags(spark, sf):
     from .frames import boxes
 
-    ring = P.ring_pairs(boxes(spark, sf), "generator_id", "name", "object_id")
+    ring = P.ring_pairs(boxes(spark, sf), ["generator_id", "name"], "object_id")
     return ring.select(F.concat(F.lit("pair_"), F.lpad(F.col("a_object_id").cast("string"), 8, "0")).alias("pair_id"), F.array_sort(F.array_union(F.split("a_name", " "), F.split("b_name", " "))).alias("tags"))
 
 

@@ -30,7 +30,7 @@ def geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placed and measured pairs: ring of boxes x strategies."""
     # Inferring constraints from the long chain of labels takes the optimizer seconds and finds nothing to push.
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-    ring = P.ring_pairs(boxes(spark, sf_dir), "generator_id", "name", "object_id")
+    ring = P.ring_pairs(boxes(spark, sf_dir), ["generator_id", "name"], "object_id")
     placed = P.candidates(ring, F.col("a_object_id"))
     key = F.concat(F.lit("geom_"), F.lpad(F.col("a_object_id").cast("string"), 8, "0"), F.lit("_"), F.lpad(F.col("spec").cast("string"), 2, "0"))
     return P.measured(placed).withColumns({"geometry_id": key, "pair_id": F.concat(F.lit("pair_"), F.lpad(F.col("a_object_id").cast("string"), 8, "0"))})

@@ -96,7 +96,7 @@ _MEET = " AND ".join(f"a.min_{x} <= b.max_{x} AND b.min_{x} <= a.max_{x}" for x
 
 @query(f"WITH {_CELLS} SELECT a.generator_id, a.object_id AS a_id, b.object_id AS b_id FROM cells a JOIN cells b ON a.generator_id = b.generator_id AND a.object_id < b.object_id AND {_MEET}")
 def aabb_overlap_pairs(spark, sf):
-    return P.overlapping_pairs(_cells(spark, sf), "generator_id", "generator_id", "object_id").select(F.col("a_generator_id").alias("generator_id"), F.col("a_object_id").alias("a_id"), F.col("b_object_id").alias("b_id"))
+    return P.overlapping_pairs(_cells(spark, sf), "generator_id", "object_id").select(F.col("a_generator_id").alias("generator_id"), F.col("a_object_id").alias("a_id"), F.col("b_object_id").alias("b_id"))
 
 
 @query(f"WITH {GEO_SQL} SELECT geometry_id, round(d0, 6) AS distance, round(iv0, 6) AS intersection, aabb_overlap FROM geo")
@@ -287,8 +287,8 @@ _TASKS = f"""{GEO_SQL}, tasks AS (
     task_rows AS (SELECT *, task_type || '_' || lpad(row_number() OVER (PARTITION BY task_type ORDER BY geometry_id)::VARCHAR, 8, '0') AS id FROM tasks)"""
 
 
-def task_rows(spark, sf):
-    return M.task_rows(geometries(spark, sf))
+def task_rows(spark, sf, number=True):
+    return M.task_rows(geometries(spark, sf), number=number)
 
 
 @query(f"WITH {_TASKS} SELECT id, geometry_id, pair_id, task_type, answer, relation, strategy FROM task_rows")

@@ -95,7 +95,7 @@ def leakage_audit(spark, sf):
 @query(f"""WITH {_TASKS}, s AS (SELECT *, pair_id AS g FROM task_rows), t AS (SELECT *, {_PLAIN} AS split FROM s)
     SELECT split, count(*) AS n_rows, count(DISTINCT pair_id) AS n_groups, list_sort(list_distinct(list(task_type))) AS tasks, count(*) FILTER (answer = 'yes') AS yes, count(*) FILTER (answer = 'no') AS no FROM t GROUP BY split""")
 def split_manifest(spark, sf):
-    return P.split_manifest(task_rows(spark, sf).withColumn("split", P.plain_split(F.col("pair_id"))), "split", "pair_id", "task_type", "answer")
+    return P.split_manifest(task_rows(spark, sf, number=False).withColumn("split", P.plain_split(F.col("pair_id"))), "split", "pair_id", "task_type", "answer")
 
 
 @query(f"WITH {_SPLITS} SELECT split, count(*) AS n FROM sp GROUP BY split")
@@ -132,8 +132,8 @@ def relation_balanced_rows(spark, sf):
     SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM l JOIN m USING (l_returnflag) WHERE r <= least""")
 def pairwise_cap(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    key = F.struct(order_key(7, F.col("l_orderkey"), F.col("l_linenumber")), F.col("l_orderkey"), F.col("l_linenumber"))
-    return S.cap_to_smallest(li, ["l_returnflag"], "l_linestatus", key)
+    key = order_key(7, F.col("l_orderkey"), F.col("l_linenumber"))
+    return S.cap_to_smallest(li, ["l_returnflag"], "l_linestatus", key, [F.col("l_orderkey"), F.col("l_linenumber")])
 
 
 @query(f"""WITH {_ORDERS}, a AS (SELECT id, task, answer, row_number() OVER (PARTITION BY task, answer ORDER BY id) AS a FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY a, answer) AS t FROM a)

@@ -73,3 +73,24 @@ def test_run_order():
         D.run_order([("full", ["none"])])
     with pytest.raises(ValueError, match="cycle"):
         D.run_order([("a", ["b"]), ("b", ["a"])])
+
+
+def test_last_prediction_wins_and_unknown_tasks_stop(spark):
+    from pyspark.errors import PySparkException
+
+    from lithic.operators.evaluate import scored
+
+    rows = spark.createDataFrame([("r1", "binary_interference", "yes")], "id string, task_type string, answer string")
+    two = spark.createDataFrame([("r1", "no", 1), ("r1", "yes", 2)], "id string, output string, position int")
+    assert [(r.parsed, r.correct) for r in scored(rows, two).collect()] == [("yes", True)]
+    assert scored(rows, two.drop("position")).count() == 1
+    odd = spark.createDataFrame([("r1", "no_such_task", "yes")], "id string, task_type string, answer string")
+    with pytest.raises(PySparkException, match="no_such_task"):
+        scored(odd, two).collect()
+
+
+def test_digest_tells_null_places_apart(spark):
+    from lithic.functions.hashing import digest
+
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", "")], "x string, y string")
+    assert df.select(digest("x", "y").alias("d")).distinct().count() == 3
