@@ -84,7 +84,7 @@ def clearance_bucket(rel: Column, distance: Column, policy: LabelPolicy = POLICY
     return out.when(distance.isNotNull(), ">5")
 
 
-def tolerance_fit(distance: Column, required_mm: float, policy: LabelPolicy = POLICY) -> Column:
+def tolerance_fit(distance: Column, required_mm: float | Column, policy: LabelPolicy = POLICY) -> Column:
     return F.when(distance <= policy.touching_mm, "no").when(distance >= required_mm, "yes").otherwise("no")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, records, splitting
+from . import contracts, evaluation, geometry, records, rows, splitting
 
-MODULES = (geometry, splitting, evaluation, records)
+MODULES = (geometry, splitting, evaluation, records, contracts, rows)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 FLAGSHIP = "relation_counts"
