@@ -7,9 +7,10 @@ own text is the same on most aligned pages is template; nodes whose text varies
 its slots, less what its marks name as no part of an article (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments), from its article or main element if it has one.
 
-Both passes are over whole pages, one row at a time; between them one short row of votes for each distinct article is
-shuffled, copies pre-aggregated, and then (host, layout, node, counts), pre-aggregated for each batch. Skeletons are
-read by expressions; one task lays out the distinct skeletons of a host, never its pages.
+A page is parsed once: it leaves its blocks, each with the pivot node that it repeats, and its votes. One short row of
+votes for each distinct article is shuffled, copies pre-aggregated, and then (host, layout, node, counts), pre-aggregated
+for each batch; dropping the template blocks is an expression. Skeletons are read by expressions, too; one task lays out
+the distinct skeletons of a host, never its pages.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _marked(name: str, marks: frozenset[str] = MARKS) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "label", "children", "kids", "off", "mark", "shape", "size", "number")
+    __slots__ = ("tag", "label", "children", "kids", "off", "mark", "shape", "size", "number", "words")
 
     def __init__(self, tag: str, mark: str = "", off: bool = False):
         self.tag, self.label, self.off = tag, f"{tag}.{mark}" if mark else tag, off
@@ -79,6 +80,7 @@ class Node:
         self.children: list[Node | str] = []
         self.kids: list[Node] = []
         self.shape, self.size = 0, 1
+        self.words: str | None = None
         self.number = -1
 
 
@@ -194,17 +196,19 @@ def _partly(mark: str) -> bool:
 
 def own_text(n: Node) -> str:
     """Text of a block: what stands in the node and in inline elements within it, without that of blocks within it."""
-    out: list[str] = []
-    todo: list[Node | str] = list(reversed(n.children))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            out.append(" ")
-            if x.tag in INLINE:
-                todo += reversed(x.children)
-    return " ".join("".join(out).split())
+    if n.words is None:
+        out: list[str] = []
+        todo: list[Node | str] = list(reversed(n.children))
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                out.append(" ")
+                if x.tag in INLINE:
+                    todo += reversed(x.children)
+        n.words = " ".join("".join(out).split())
+    return n.words
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -286,49 +290,45 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def main_text(root: Node, template: set[int] | None = None) -> str:
-    """Text of a page less its template blocks: blocks in page order, one a line. template: numbers of its own nodes.
+#: Where a segment stands, as bits.
+IN_ARTICLE, IN_MAIN = 1, 2
 
-    A block is template with all its inline elements, or not at all: nothing is cut out of a sentence.
+
+def segments(root: Node) -> list[tuple[str, int, int]]:
+    """A page's text in page order, less what is no article: (text, number of its block, bits of where it stands).
+
+    A block with blocks within it has a segment for each stretch of its own text.
     """
-    template = template or set()
+    out: list[tuple[list[str], int, int]] = [([], root.number, 0)]
+    todo: list[tuple[Node | str | None, int, int]] = [(root, -1, 0)]
+    while todo:
+        x, block, where = todo.pop()
+        if x is None:
+            out.append(([], block, where))
+        elif isinstance(x, str):
+            out[-1][0].append(x)
+        elif x.off or x.tag == "br":
+            out[-1][0].append(" ")
+        else:
+            if x.tag not in INLINE:
+                todo.append((None, block, where))
+                block, where = x.number, where | (IN_ARTICLE if x.tag == "article" else IN_MAIN if x.tag == "main" else 0)
+                out.append(([], block, where))
+            todo += [(c, block, where) for c in reversed(x.children)]
+    lines = ((" ".join("".join(parts).split()), block, where) for parts, block, where in out)
+    return [x for x in lines if x[0]]
 
-    def tops(n: Node, tags: tuple[str, ...]) -> list[Node]:
-        found, todo = [], [n]
-        while todo:
-            x = todo.pop()
-            if x.off:
-                continue
-            if x.tag in tags:
-                found.append(x)
-            else:
-                todo += [c for c in reversed(x.children) if isinstance(c, Node)]
-        return found
 
-    def text(starts: list[Node]) -> str:
-        blocks: list[list[str]] = [[]]
-        todo: list[tuple[Node | str | None, bool]] = [(x, False) for x in reversed(starts)]
-        while todo:
-            x, gone = todo.pop()  # gone: whether the block around is template
-            if x is None:
-                blocks.append([])
-            elif isinstance(x, str):
-                blocks[-1].append("" if gone else x)
-            elif x.off or x.tag == "br":
-                blocks[-1].append(" ")
-            else:
-                if x.tag not in INLINE:
-                    blocks.append([])
-                    todo.append((None, False))
-                    gone = x.number in template
-                todo += [(c, gone) for c in reversed(x.children)]
-        lines = (" ".join("".join(b).split()) for b in blocks)
-        return "\n".join(x for x in lines if x)
+def main_text(root: Node, template: set[int] | None = None) -> str:
+    """Text of a page less its template blocks: blocks in page order, one a line. template: numbers of its own nodes.
 
-    for tags in (("article",), ("main",)):
-        if (found := tops(root, tags)) and (out := text(found)):
-            return out
-    return text([root])
+    A block is template with all its inline elements, or not at all: nothing is cut out of a sentence.
+    """
+    left = [x for x in segments(root) if not template or x[1] not in template]
+    for bit in (IN_ARTICLE, IN_MAIN):
+        if inside := [x[0] for x in left if x[2] & bit]:
+            return "\n".join(inside)
+    return "\n".join(x[0] for x in left)
 
 
 _PIVOTS: dict[str, Node] = {}
@@ -428,25 +428,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def by_layout(rows: DataFrame, other: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(other) if small else other, ["_host", "_layout"], "left")
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("text", pa.string()), ("node", pa.int32()), ("place", pa.int8())]))
+        its_articles: dict[str, str] = {}
         for b in batches:
-            rows, its_articles = [], {}
-            for h, layout, html, pivot in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if html == pivot:
-                    continue
-                root, its_root = parse(html), _pivot(h, pivot)
-                article = main_text(root)
-                if pivot not in its_articles:
-                    its_articles[pivot] = main_text(its_root)
-                if article == its_articles[pivot]:
-                    continue
-                votes = []
-                for mine, its in match(root, its_root):
-                    if its.tag not in INLINE and (words := own_text(its)):
-                        votes.append(2 * its.number + (own_text(mine) == words))
-                rows.append((h, layout, hashlib.sha256(article.encode("utf-8", "surrogatepass")).digest(), np.array(sorted(votes), ">i4").tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["_host", "_layout", "_article", "_votes"])
+            articles, ballots, blocks = [], [], []
+            for h, html, pivot in zip(*(b.column(k).to_pylist() for k in (2, 4, 5)), strict=True):
+                root = parse(html)
+                found, article, ballot, repeats = segments(root), None, None, {}
+                if pivot is not None:
+                    its_root = _pivot(h, pivot)
+                    pairs = [(mine, its) for mine, its in match(root, its_root) if its.tag not in INLINE and own_text(its)]
+                    repeats = {mine.number: its.number for mine, its in pairs if own_text(mine) == own_text(its)}
+                    if html != pivot:
+                        text = main_text(root)
+                        if pivot not in its_articles:
+                            its_articles = {pivot: main_text(its_root)} if len(its_articles) > 256 else its_articles | {pivot: main_text(its_root)}
+                        if text != its_articles[pivot]:
+                            article = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                            ballot = np.array(sorted(2 * its.number + (mine.number in repeats) for mine, its in pairs), ">i4").tobytes()
+                articles.append(article)
+                ballots.append(ballot)
+                blocks.append([{"text": t, "node": repeats.get(k, -1), "place": where} for t, k, where in found])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(articles, pa.binary()), pa.array(ballots, pa.binary()), pa.array(blocks, kind)], ["_id", "_url", "_host", "_layout", "_article", "_votes", "_blocks"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -459,25 +463,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             if seen:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["_host", "_layout", "_node", "_all", "_same"])
 
-    ballots = by_layout(full, pivots).select("_host", "_layout", "_html", "_pivot").mapInArrow(align, "_host string, _layout long, _article binary, _votes binary")
-    once = ballots.groupBy("_host", "_layout", "_article").agg(F.min("_votes").alias("_votes"))  # one vote for each article
+    id_type = pages.schema[id_col].dataType.simpleString()
+    rows = by_layout(base, pivots).select("_id", "_url", "_host", "_layout", "_html", "_pivot")
+    with bounded_batches(spark, rows=512, mb=4):
+        parsed = written(rows.mapInArrow(read, f"_id {id_type}, _url string, _host string, _layout long, _article binary, _votes binary, _blocks array<struct<text:string,node:int,place:tinyint>>"), "op7-blocks")
+    once = parsed.where("_article is not null").groupBy("_host", "_layout", "_article").agg(F.min("_votes").alias("_votes"))  # one vote for each article
     counts = once.select("_host", "_layout", "_votes").mapInArrow(count, "_host string, _layout long, _node long, _all long, _same long")
     nodes = counts.groupBy("_host", "_layout", "_node").agg(F.sum("_all").alias("_all"), F.sum("_same").alias("_same")).where((F.col("_all") >= PAGES) & (F.col("_same") >= SAME * F.col("_all")))
     with bounded_batches(spark, rows=512, mb=4):
         templates = written(nodes.groupBy("_host", "_layout").agg(F.sort_array(F.collect_list("_node")).alias("_nodes")), "op7-templates")  # a pivot's nodes at most
-    wrappers = pivots.join(templates, ["_host", "_layout"], "left")
+    left = F.when(F.col("_nodes").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda x: ~F.array_contains("_nodes", x["node"].cast("long"))))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for h, html, pivot, nodes in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                root, own = parse(html), set()
-                if nodes and pivot:
-                    constant = set(nodes)
-                    own = {mine.number for mine, its in match(root, _pivot(h, pivot)) if its.number in constant and own_text(mine) == own_text(its)}  # blocks
-                out.append(main_text(root, own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [id_col, url_col, "text", "n_chars"])
-
-    rows = by_layout(base, wrappers).select("_id", "_url", "_host", "_html", "_pivot", "_nodes")
-    with bounded_batches(spark, rows=512, mb=4):
-        return written(rows.mapInArrow(read, f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"), "op7-texts")
+    def lines(bit: int | None) -> Column:
+        inside = F.col("_left") if bit is None else F.filter("_left", lambda x: x["place"].bitwiseAND(bit) != 0)
+        return F.array_join(F.transform(inside, lambda x: x["text"]), "\n")
+
+    out = by_layout(parsed, templates).select("_id", "_url", left.alias("_left"))
+    article, main = lines(IN_ARTICLE), lines(IN_MAIN)
+    out = out.select("_id", "_url", F.when(article != "", article).when(main != "", main).otherwise(lines(None)).alias("text"))
+    return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
