@@ -28,6 +28,8 @@ from ._common import bounded_batches, fresh_path, text_or_empty, written
 
 MAGIC, LANES = b"LBP1", 64
 FILE_TOKENS, BLOCK = 4 << 20, 4096
+#: Shards at most, and tasks at most that read the files back.
+MOST_SHARDS, MOST_READERS = 20_000, 20_000
 #: Pieces that a worker keeps encoded; beyond it they are encoded anew.
 CACHE = 400_000
 
@@ -220,17 +222,22 @@ def byte_level(piece: str) -> str:
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 20_000) -> DataFrame:
     """Encode whole texts, append `end_id`, and write packed files in ascending id order (null ids first).
 
-    Ties of an id go by their ids' bytes, so reruns write the same bytes. Returns the manifest, one row per file:
+    Ties of an id go by a hash of the text, then by their ids' bytes, so reruns write the same bytes, and an id that a
+    third of all rows share is cut into shards like others. There are MOST_SHARDS at most; beyond that they get longer. Returns the manifest, one row per file:
     (shard, file, path, documents, ids, start), start = ids of all documents in earlier files. Nulls are
     empty texts (the end id alone). An empty table writes no file. Other columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
     rows = base.count()
-    shards = max(1, -(-rows // shard_rows))
-    # Bounds of the shards by quantiles of the ids: one column is read, and no text is encoded for a sample.
-    cuts = base.agg(F.percentile_approx("_id", [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else []
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+    shards = max(1, min(MOST_SHARDS, -(-rows // shard_rows)))
+    # Bounds of the shards by quantiles of the ids: one column is read, and no text is encoded for a sample. A bound that
+    # stands several times is an id with rows for several shards, which are told apart by the hash.
+    least = np.iinfo(np.int64).min
+    known = F.coalesce("_id", F.lit(least))
+    cuts = base.agg(F.percentile_approx(known, [i / shards for i in range(1, shards)], 20 * shards)).first()[0] if shards > 1 else []
+    bounds = np.array(sorted(cuts or []), np.int64)
+    base = base.withColumn("_tie", F.xxhash64("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_path)
@@ -244,8 +251,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             # ids of the vocabulary below 65,536 travel as 16 bits
             data, width = (out.astype("<u2"), 2) if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else (out.astype("<u4"), 4)
             offsets = np.concatenate([[0], ends * width]).astype(np.int32)
-            shard = np.searchsorted(bounds, pc.fill_null(b.column(0), np.iinfo(np.int64).min).to_numpy(), side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], ["shard", "id", "ids"])
+            key, tie = pc.fill_null(b.column(0), least).to_numpy(), b.column(2).to_numpy()
+            shard = np.searchsorted(bounds, key, side="left")
+            many = np.maximum(1, np.searchsorted(bounds, key, side="right") - shard)
+            share = (tie.astype(np.float64) + 2.0**63) / 2.0**64
+            shard = shard + np.minimum(many - 1, np.floor(share * many).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(0), b.column(2), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])], ["shard", "id", "tie", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = max(encoder_for(tokenizer_path).vocabulary, end_id + 1)
@@ -268,7 +279,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 state.update(file=state["file"] + 1, held=0)
 
         for b in batches:
-            for shard, doc, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for shard, doc, data in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
                 ids = np.frombuffer(data, width)
                 if shard != state["shard"] or state["held"] + len(ids) > FILE_TOKENS:
                     yield from flush()
@@ -278,7 +289,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 state["held"] += len(ids)
         yield from flush()
 
-    encoded = base.mapInArrow(encode, "shard int, id long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
+    encoded = base.mapInArrow(encode, "shard int, id long, tie long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "tie", "ids")
     manifest_path = fresh_path(spark, "op5-manifest")
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)  # an empty table writes no file, but can be read
@@ -298,22 +309,24 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Documents of the written files: (doc_id, start, n_tokens, ids_crc32), from the files' own bytes."""
     spark = manifest.sparkSession
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.lbp").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("_name"), "content")
-    starts = manifest.select(F.element_at(F.split("path", "/"), -1).alias("_name"), "start")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base_path = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for start, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                file = PackedFile(data.as_buffer().to_pybytes())
+            for start, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with files.open_input_file(f"{base_path}/{name}") as f:
+                    file = PackedFile(f.read())
                 ids = file.ids().astype("<u4")
                 ends = np.cumsum(file.lengths, dtype=np.int64)
                 begins = ends - file.lengths
                 crcs = [zlib.crc32(ids[i:j]) for i, j in zip(begins, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(begins + start), pa.array(file.lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # The manifest has one short row for each file of up to 4 million ids; a batch is one file.
-    with bounded_batches(spark, rows=1):
-        return written(starts.join(content, "_name").select("start", "content").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long"), "op5-read")
+    # One short row for each file is dealt out; workers open the files themselves, one at a time.
+    rows = manifest.select("start", F.element_at(F.split("path", "/"), -1).alias("_name"))
+    parts = max(1, min(rows.count(), MOST_READERS))
+    with bounded_batches(spark, rows=64):
+        return written(rows.repartition(parts).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long"), "op5-read")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
