@@ -6,8 +6,8 @@ SEGMENTS * (s + 1) - 1 bits have been seen, so it ends once the kth verified dis
 
 Equal codes fall together first (each keeps its k + 1 least ids, the most that a result can name), so a vector that a
 third of the rows share is one entry. Distinct codes are dealt into shards by hash; each shard builds its tables once and
-reads the queries from the shared folder block by block. One shard searched first bounds every query's kth distance, so
-the others stop at it and return few rows.
+reads the queries from the shared folder block by block, TOGETHER of them at a time. One shard searched first, with a task
+for each block of queries, bounds every query's kth distance, so the others stop at it and return few rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, fresh_path, written
 
 SEGMENT = 16
-SHARD, QUERY_BLOCK = 100_000, 4096
+SHARD, QUERY_BLOCK, TOGETHER = 100_000, 4096, 64
 
 
 def codes_of(vectors: pa.Array) -> np.ndarray:
@@ -59,36 +59,53 @@ class MultiIndex:
             cls._masks[radius] = np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), radius)], np.uint16)
         return cls._masks[radius]
 
-    def search(self, code: np.ndarray, times: np.ndarray, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and distances that hold the k nearest rows (a code counts `times` rows), none beyond `bound`."""
-        seen = np.zeros(len(self.codes), bool)
-        rows, distances = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    def search(self, codes: np.ndarray, times: np.ndarray, k: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of codes that hold the k nearest rows of each query (a code counts `times` rows), none beyond its bound.
+
+        Queries are searched together: in each step the radius grows for those whose kth distance isn't covered yet.
+        """
+        n = len(self.codes)
+        active, seen, distance = np.arange(len(codes)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        limit = bounds.astype(np.int64).copy()
         for radius in range(SEGMENT + 1):
+            keys = [np.zeros(0, np.int64)]
             for s in range(self.segments):
-                probes = (self.masks(radius) ^ code[s]).astype(np.int64)
-                a, b = self.starts[s][probes], self.starts[s][probes + 1]
-                n = b - a
-                if not n.any():
-                    continue
-                found = self.order[s][np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                fresh = found[~seen[found]]
-                seen[fresh] = True
-                d = np.bitwise_count(self.codes[fresh] ^ code).sum(1).astype(np.int64)
-                rows, distances = np.concatenate([rows, fresh]), np.concatenate([distances, d])
-            covered = self.segments * (radius + 1) - 1
-            order = np.argsort(distances, kind="stable")
-            enough = np.searchsorted(np.cumsum(times[rows[order]]), k)
-            kth = distances[order[enough]] if enough < len(order) else bound
-            if covered >= min(kth, bound):
-                limit = min(kth, bound)
-                return rows[distances <= limit], distances[distances <= limit]
-        return rows, distances
+                probes = (codes[active, s][:, None] ^ self.masks(radius)[None, :]).astype(np.int64).reshape(-1)
+                a = self.starts[s][probes]
+                size = self.starts[s][probes + 1] - a
+                hit = np.flatnonzero(size)
+                a, size = a[hit], size[hit]
+                rows = self.order[s][np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                keys.append(np.repeat(active[hit // len(self.masks(radius))], size).astype(np.int64) * n + rows)
+            found = np.unique(np.concatenate(keys))
+            at = np.searchsorted(seen, found)
+            fresh = found[(at == len(seen)) | (seen[np.minimum(at, max(0, len(seen) - 1))] != found)] if len(seen) else found
+            q, row = np.divmod(fresh, n)
+            seen, distance = np.concatenate([seen, fresh]), np.concatenate([distance, np.bitwise_count(self.codes[row] ^ codes[q]).sum(1).astype(np.int64)])
+            order = np.argsort(seen, kind="stable")
+            seen, distance = seen[order], distance[order]
+            # The kth distance of each query so far
+            q, row = np.divmod(seen, n)
+            order = np.lexsort((distance, q))
+            total = np.cumsum(times[row[order]])
+            first = np.searchsorted(q[order], np.arange(len(codes)))
+            before = np.concatenate([[0], total])[first]
+            enough = np.searchsorted(total, before + k)
+            ends = np.searchsorted(q[order], np.arange(len(codes)), side="right")
+            whole = enough < ends
+            limit[whole] = np.minimum(limit[whole], distance[order][enough[whole]])
+            active = active[self.segments * (radius + 1) - 1 < limit[active]]
+            if not len(active):
+                break
+        q, row = np.divmod(seen, n)
+        near = distance <= limit[q]
+        return q[near], row[near], distance[near]
 
 
 def _blocks(path: str) -> Iterator[pd.DataFrame]:
     """The written queries, a block at a time."""
     files, base = pafs.FileSystem.from_uri(path)
-    for info in sorted(files.get_file_info(pafs.FileSelector(base)), key=lambda i: i.path):
+    for info in sorted(files.get_file_info(pafs.FileSelector(base, allow_not_found=True)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
             with pq.ParquetFile(files.open_input_file(info.path)) as f:
                 for batch in f.iter_batches(QUERY_BLOCK):
@@ -131,31 +148,45 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     def wide(codes: pd.Series) -> np.ndarray:
         return np.frombuffer(b"".join(c.ljust(2 * segments, b"\0")[: 2 * segments] for c in codes), np.uint16).reshape(len(codes), segments)
 
-    def nearest(path: str):
+    def nearest(path: str, one_block: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            own = f"{path}/block={int(pdf['block'].iloc[0])}" if one_block else path
             pdf = pdf.sort_values("code", kind="stable", ignore_index=True)
             index, times = MultiIndex(wide(pdf["code"])), pdf["ids"].map(len).to_numpy()
-            out: list[tuple[int, int, int]] = []
-            for block in _blocks(path):
-                for q, code, bound in zip(block["id"], wide(block["code"]), block["bound"], strict=True):
-                    found, distances = index.search(code, times, k + 1, int(bound))
-                    own = [(int(d), int(i)) for r, d in zip(found, distances, strict=True) for i in pdf["ids"][r] if i != q]
-                    out += [(int(q), i, d) for d, i in sorted(own)[:k]]
-            return pd.DataFrame(out, columns=["query_id", "neighbour_id", "distance"])
+            starts = np.cumsum(times) - times
+            ids = np.concatenate([np.asarray(x, np.int64) for x in pdf["ids"]])
+            out = []
+            for block in _blocks(own):
+                asked, codes, bounds = block["id"].to_numpy(), wide(block["code"]), block["bound"].to_numpy()
+                for i in range(0, len(asked), TOGETHER):
+                    q, row, d = index.search(codes[i : i + TOGETHER], times, k + 1, bounds[i : i + TOGETHER])
+                    n = times[row]  # each code's rows
+                    neighbour = ids[np.repeat(starts[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    query, d = asked[i : i + TOGETHER][np.repeat(q, n)], np.repeat(d, n)
+                    other = np.flatnonzero(neighbour != query)
+                    order = other[np.lexsort((neighbour[other], d[other], query[other]))]
+                    rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+                    order = order[rank < k]
+                    out.append(pd.DataFrame({"query_id": query[order], "neighbour_id": neighbour[order], "distance": d[order]}))
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "neighbour_id": [], "distance": []}, dtype="int64")
 
         return run
 
     shape = "query_id long, neighbour_id long, distance long"
     first, all_ = fresh_path(spark, "op10-queries"), fresh_path(spark, "op10-bounded")
     longest_bound = F.lit(SEGMENT * segments).cast("long").alias("bound")
-    asked.select("id", "code", longest_bound).write.parquet(first)
+    with bounded_batches(spark, rows=10_000, mb=8):
+        asked = written(asked, "op10-asked")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK), min(spark.sparkContext.defaultParallelism, asked.count() // 16))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asked.select("id", "code", longest_bound, block.alias("block")).repartition(blocks, "block").write.partitionBy("block").parquet(first)
     ranked = F.expr("row_number() over (partition by query_id order by distance, neighbour_id)")
+    # The first shard's rows go to a task for each block of queries.
+    spread = dealt.where("shard = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = spread.groupBy("shard", "block").applyInPandas(nearest(first, True), shape)
     if shards > 1:
-        sample = written(dealt.where("shard = 0").groupBy("shard").applyInPandas(nearest(first), shape), "op10-first")
+        sample = written(found, "op10-first")
         bounds = sample.withColumn("rank", ranked).where(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("distance").alias("_kth"))
-        spark.read.parquet(first).join(bounds, "id", "left").select("id", "code", F.coalesce("_kth", "bound").alias("bound")).write.parquet(all_)
-        rest = dealt.where("shard > 0").groupBy("shard").applyInPandas(nearest(all_), shape)
-        found = sample.union(rest)
-    else:
-        found = dealt.groupBy("shard").applyInPandas(nearest(first), shape)
+        spark.read.schema("id long, code binary, bound long, block int").parquet(first).join(bounds, "id", "left").select("id", "code", F.coalesce("_kth", "bound").alias("bound")).write.parquet(all_)
+        found = sample.union(dealt.where("shard > 0").groupBy("shard").applyInPandas(nearest(all_, False), shape))
     return found.withColumn("rank", ranked.cast("long")).where(f"rank <= {k}").select("query_id", "rank", "neighbour_id", "distance")
