@@ -20,10 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import ascii_lower, written
-
-#: Rows of the table that tells which texts need verification: 64 bits each, so at most 64 million cells.
-ROUTE_WORDS = 1 << 20
-
+from .routing import routed
 
 class CountingQuotientFilter:
     """A multiset of 64-bit fingerprints: quotient = the high bits, remainder = the rest.
@@ -147,13 +144,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), norm.alias("_norm")).withColumn("_fp", F.xxhash64("_norm"))
 
     dups = written(repeated_fingerprints(base, "_fp"), "op9-fingerprints")
-    # A table of bits by fingerprint, bounded at ROUTE_WORDS rows whatever the input, so it may be broadcast:
-    # it lets only texts that may have an equal leave their partition. A set bit can be chance; the grouping is by bytes.
-    word, bit = F.expr(f"pmod(_fp, {ROUTE_WORDS * 64}) div 64"), F.expr("shiftleft(1L, cast(pmod(_fp, 64) as int))")
-    route = dups.select(F.col("fp").alias("_fp")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    routed = base.withColumn("_word", word).join(F.broadcast(route), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    # Only texts that may have an equal leave their partition; a few do by chance, and the grouping is by bytes.
+    alike = routed(base, "_fp", dups.select(F.col("fp").alias("_fp")))
     classes = (
-        routed.groupBy("_fp", "_norm")
+        alike.groupBy("_fp", "_norm")
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
         .select("_fp", F.sha2("_norm", 256).alias("text_sha256"), "keep_id", "group_size")

@@ -229,7 +229,7 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col:
             parts = [raw[8 * (e - n) : 8 * e] for e, n in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.binary())], ["least", "node", "set"])
 
-    texts = routed(base.where("_id is not null"), "_id", wanted.select(F.col("least").alias("_id")))
+    texts = routed(base.where("_id is not null"), "_id", wanted.select(F.col("least").alias("_id")), likely.count())
     found = texts.mapInArrow(sets, "least long, node binary, set binary").dropDuplicates(["least", "node"])
     with bounded_batches(spark, rows=512, mb=4):
         full = written(found.join(wanted, ["least", "node"]).select("root", "node", "set"), "op2-sets")

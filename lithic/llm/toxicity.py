@@ -165,5 +165,5 @@ def toxic_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, tex
         for b in batches:
             yield b.filter(pa.array(probabilities(pc.fill_null(b.column(at), "").cast(pa.string()), kept.value, bias) < threshold))
 
-    with bounded_batches(docs.sparkSession, rows=1024, mb=4):
+    with bounded_batches(docs.sparkSession, rows=1024, mb=2):
         return written(docs.mapInArrow(run, docs.schema), "op3-kept")
