@@ -45,6 +45,7 @@ def exact_filter(docs: DataFrame) -> DataFrame:
     """Documents that exact dedup keeps; rows that repeat an id and a text stay once."""
     row = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2(ascii_lower(text_or_empty()), 256)), 256)
     told = exact_dedup(docs).withColumn("_row", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256"), 256))
+    told = written(told.where("group_size > 1").select("_row", "kept", "group_size"), "pipeline-copies")
     out = without(docs.withColumn("_row", row), "_row", told.where(~F.col("kept")).select("_row"))
     repeats = told.where("kept and group_size > 1").groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row")
     repeats = written(repeats, "pipeline-repeats")
@@ -63,6 +64,7 @@ def near_filter(docs: DataFrame) -> DataFrame:
     """Documents that near-dedup keeps, told apart by id and text."""
     key = lambda digest: F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest), 256)
     told = near_dedup(docs, digest_col="_digest").where(~F.col("kept")).select(key(F.lower(F.hex("_digest"))).alias("_row"))
+    told = written(told, "pipeline-near-copies")
     return without(docs.withColumn("_row", key(F.sha2(text_or_empty(), 256))), "_row", told).select(COLUMNS)
 
 
