@@ -42,7 +42,7 @@ LENGTH, WINDOW, ROLL = 400, 128, 16
 #: Contexts of one fingerprint that one task sorts, some 500 bytes each.
 GROUP = 4096
 #: Positions of text that one step of the parser holds in its arrays; longer texts go in several steps.
-STEP = 1 << 18
+STEP = 1 << 17
 #: A phrase begins where the hash of ROLL bytes is divisible by this.
 PHRASE = 32
 #: Words of the table of bits that routes triggers: 64 cells each, 16 cells for each fingerprint, so 64 MB at most. Where
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 fp, n = np.unique(np.concatenate([h := prefix.hash(t, anchor), h[often]]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, np.minimum(n, 2)).view(np.int64))], ["fp"])
 
-    with bounded_batches(spark, rows=2048, mb=4):
+    with bounded_batches(spark, rows=1024, mb=2):
         prints = written(repeated_fingerprints(long_enough.mapInArrow(fingerprints, "fp long"), "fp").select("fp"), "op4-fingerprints")
     words = LEAST_WORDS
     count = prints.count()
@@ -390,7 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 )
 
     shape = "fp long, text binary, at long, step long, n long, times long, span long, digest binary, context binary"
-    with bounded_batches(spark, rows=2048, mb=4):
+    with bounded_batches(spark, rows=1024, mb=2):
         if by_table:
             items = written(long_enough.mapInArrow(lambda b: found(b, False, True), shape), "op4-contexts")
         else:  # too many for a table: each text gets the places of its repeated triggers by joins
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
     large = each.join(many, ["fp", "string"]).groupBy("fp", "digest").agg(F.min("position").alias("low"), F.max("position").alias("high"))
 
     twice = narrow.where("times > 1").select("fp", "digest", F.lit(0).cast("long").alias("low"), F.col("span").alias("high"))
-    with bounded_batches(spark, rows=2048, mb=4):
+    with bounded_batches(spark, rows=1024, mb=2):
         hits = written(twice.union(small).union(large).groupBy("fp", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "op4-hits")
     hit_places = items.select("fp", "digest", "text", "at", "step", "n").distinct().join(hits, ["fp", "digest"])
     run = F.struct((F.col("at") + F.col("low")).alias("a"), (F.col("at") + F.col("high") + length).alias("b"), "step", "n")
@@ -466,7 +466,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW,
                 span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.string(), span_type, pa.string()), strict=True)], ["text", "_removed", "_spans", "_sha", "_ranges", "_kept"])
 
-    with bounded_batches(spark, rows=512, mb=4):
+    with bounded_batches(spark, rows=512, mb=2):
         done = written(texts.join(spans, "text").select("text", "_text", "runs").mapInArrow(cut, "text binary, _removed long, _spans long, _sha string, _ranges array<struct<start:long,stop:long>>, _kept string"), "op4-cut")
     bare = [F.lit(None).cast(done.schema[c].dataType).alias(c) for c in done.columns if c != "text"]
     rows = marked.where("_may").join(done, "text", "left").unionByName(marked.where("not _may").select("*", *bare))
