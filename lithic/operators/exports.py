@@ -66,9 +66,12 @@ def few_shot_text(examples: Column, prompt: Column) -> Column:
 
 def requests(rows: DataFrame, system: str, user: Column, model: str, version: str, decoding: dict[str, float]) -> DataFrame:
     """(id, model, eval_version, messages, eval_request_hash): the hash is of the request's canonical JSON."""
-    body = {"id": F.col("id"), "model": F.lit(model), "eval_version": F.lit(version), "messages": messages(system, user), "decoding": F.create_map(*[F.lit(x) for kv in sorted(decoding.items()) for x in kv])}
-    out = rows.select(*[c.alias(k) for k, c in body.items()])
-    return out.withColumn("eval_request_hash", C.sha256_text(C.canonical_struct(**{k: F.col(k) for k in body}))).drop("decoding")
+    text = messages(system, user)
+    out = rows.select("id", F.lit(model).alias("model"), F.lit(version).alias("eval_version"), text.alias("messages"))
+    said = F.transform("messages", lambda m: C.json_object(role=C.quoted(m["role"]), content=C.quoted(m["content"])))
+    name = C.quoted(F.col("id")) if dict(rows.dtypes)["id"] == "string" else F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    body = C.json_object(id=name, model=model, eval_version=version, messages=C.json_array(said), decoding={k: float(v) for k, v in decoding.items()})
+    return out.withColumn("eval_request_hash", C.sha256_text(body))
 
 
 class ModelClient(Protocol):
@@ -84,7 +87,7 @@ class Replay:
         self.completions = completions
 
     def complete(self, requests: DataFrame) -> DataFrame:
-        return requests.select("id").join(self.completions.select("id", "output"), "id")
+        return E.keyed(requests.select("id"), self.completions.select("id", "output"), "id")
 
 
 def evaluated(rows: DataFrame, request: Callable[[DataFrame], DataFrame], client: ModelClient) -> DataFrame:
@@ -94,15 +97,20 @@ def evaluated(rows: DataFrame, request: Callable[[DataFrame], DataFrame], client
 
 def run_report(scored: DataFrame, predictions: DataFrame, model: str) -> DataFrame:
     """One row: rows, predictions, splits and tasks seen, and the accuracies by task."""
-    by = E.accuracy(scored, "task_type").agg(F.array_sort(F.collect_list(F.struct("task_type", "total", "n_correct"))).alias("metrics"))
-    seen = scored.agg(F.count(F.lit(1)).alias("row_count"), F.array_sort(F.collect_set("split")).alias("splits"), F.array_sort(F.collect_set("task_type")).alias("task_types"))
+    by = scored.groupBy("task_type").agg(F.count(F.lit(1)).alias("total"), F.count_if("correct").alias("n_correct"), F.collect_set("split").alias("splits"))
+    seen = by.agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("row_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("splits")))).alias("splits"),
+        F.array_sort(F.collect_set("task_type")).alias("task_types"),
+        F.array_sort(F.collect_list(F.struct("task_type", "total", "n_correct"))).alias("metrics"),
+    )
     n = predictions.agg(F.count(F.lit(1)).alias("prediction_count"))
-    return seen.crossJoin(n).crossJoin(by).select(F.lit(model).alias("model"), "row_count", "prediction_count", "splits", "task_types", "metrics")  # one row each
+    return seen.crossJoin(n).select(F.lit(model).alias("model"), "row_count", "prediction_count", "splits", "task_types", "metrics")  # one row each
 
 
 def known_predictions(predictions: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """Predictions that have a row, with its task, answer and the reward's verdict."""
-    return predictions.join(rows, key).withColumn("correct", F.coalesce(P.parse_answer(F.col("task_type"), P.candidate(F.col("output"))) == F.col("answer"), F.lit(False)))
+    return E.keyed(predictions, rows, key).withColumn("correct", F.coalesce(P.parse_answer(F.col("task_type"), P.candidate(F.col("output"))) == F.col("answer"), F.lit(False)))
 
 
 #: Columns that only supervision has; the public view is without them.
@@ -139,16 +147,25 @@ def reward(task: Column, gold: Column, output: Column) -> Column:
 
 
 def failure_cases(rows: DataFrame, validations: DataFrame, failures: DataFrame, scored: DataFrame | None = None) -> DataFrame:
-    """(section, name, n): what a failure report counts, in one stack of grouped counts."""
-    one = lambda df, name: df.agg(F.lit("summary").alias("section"), F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-    by = lambda df, section, c: df.groupBy(F.col(c).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(section).alias("section"), "name", "n")
-    bad = validations.where(~F.coalesce("valid", F.lit(False)))
-    out = one(rows, "rows").unionByName(one(validations, "validations")).unionByName(one(bad, "invalid_validations")).unionByName(one(failures, "failures"))
-    out = out.unionByName(by(bad, "validation_failures", "reason")).unionByName(by(failures, "generation_failures", "reason"))
+    """(section, name, n): what a failure report counts. Each table is counted once, by all that its sections ask for."""
+    n = F.count(F.lit(1)).alias("n")
+    cell = lambda section, name: F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"))
+    each = lambda counts, *cells: counts.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())), "n")
+    total = lambda name: cell("summary", F.lit(name))
+    bad, reason = ~F.coalesce("valid", F.lit(False)), F.col("reason")
+    out = rows.sparkSession.createDataFrame([("summary", x, 0) for x in ("rows", "validations", "invalid_validations", "failures")], "section string, name string, n long")
+    checks = validations.groupBy(bad.alias("bad"), reason).agg(n)
+    out = out.unionByName(each(checks, total("validations"), F.when(F.col("bad"), total("invalid_validations")), F.when(F.col("bad"), cell("validation_failures", reason))))
+    out = out.unionByName(each(failures.groupBy(reason).agg(n), total("failures"), cell("generation_failures", reason)))
+    if scored is not rows:
+        out = out.unionByName(each(rows.agg(n), total("rows")))
     if scored is not None:
-        wrong = scored.where(~F.col("correct")).withColumn("kind", F.when(F.col("parsed").isNull(), "invalid").otherwise("incorrect"))
-        out = out.unionByName(by(wrong, "prediction_failures", "kind")).unionByName(by(wrong, "failures_by_task", "task_type"))
-    return out
+        kind = F.when(F.col("correct"), None).when(F.col("parsed").isNull(), "invalid").otherwise("incorrect")
+        verdicts = scored.groupBy("task_type", kind.alias("kind")).agg(n)
+        wrong = F.col("kind").isNotNull()
+        own = [total("rows")] if scored is rows else []
+        out = out.unionByName(each(verdicts, *own, F.when(wrong, cell("prediction_failures", F.col("kind"))), F.when(wrong, cell("failures_by_task", F.col("task_type")))))
+    return out.groupBy("section", "name").agg(F.sum("n").alias("n"))
 
 
 def first_failures(scored: DataFrame, order: str, k: int = 20) -> DataFrame:

@@ -44,17 +44,18 @@ def numbered(rows: DataFrame, task: str, order: str, ranges: int = 256) -> DataF
     edges = sorted(r[0] for r in sample.collect())
     bounds = sorted(set(edges[:: max(1, len(edges) // ranges)]))
 
-    def part(low: int, high: int) -> Column:
-        """How many bounds are at or below a value, by halving; it lies in low..high."""
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(order) < F.lit(bounds[mid]), part(low, mid)).otherwise(part(mid + 1, high))
-
-    placed = rows.withColumn("_part", part(0, len(bounds)))
+    # Bounds at or below a value: first whole blocks of 16, then inside the next one. One tree of 256 comparisons would be
+    # a method that the JVM doesn't compile.
+    blocks = [bounds[i : i + 16] for i in range(0, len(bounds), 16)] or [[]]
+    x, one = F.col(order), lambda c: F.when(c, 1).otherwise(0)
+    whole = sum((one(F.lit(b[0]) <= x) for b in blocks[1:]), F.lit(0))
+    table = F.array(*[F.array(*map(F.lit, b)) for b in blocks])
+    inside = sum((one(F.get(F.col("_block"), F.lit(i)) <= x) for i in range(len(blocks[0]))), F.lit(0))
+    placed = rows.withColumn("_whole", whole).withColumn("_block", F.get(table, F.col("_whole")))
+    placed = placed.withColumn("_part", F.when(x.isNull(), len(bounds)).otherwise(F.col("_whole") * 16 + inside)).drop("_whole", "_block")
     counts = placed.groupBy(task, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select(task, "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(task).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy(task, "_part").orderBy(order)))
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_part", task).orderBy(F.col(order).asc_nulls_last())))
     number = F.col("_before") + F.col("_r")
     out = ranked.join(F.broadcast(before), [task, "_part"])  # one row per task and range
     return out.withColumn("id", F.concat(F.col(task), F.lit("_"), F.lpad(number.cast("string"), 8, "0"))).drop("_part", "_before", "_r")

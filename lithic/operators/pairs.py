@@ -23,12 +23,16 @@ STRATEGIES = {
 }
 
 
-def sealed(df: DataFrame) -> DataFrame:
-    """The same rows behind a one-element generator: later filters stay above it.
+def sealed(df: DataFrame, *derived: str) -> DataFrame:
+    """The same rows with the derived columns (default: all) behind a one-element generator: later filters stay above it.
 
-    Pushed down, a filter on a derived label would repeat the whole chain of formulas that the label stands for.
+    Pushed down, a filter on a derived label would repeat the whole chain of formulas that the label stands for. Columns
+    that aren't derived go past the generator, so those that a query doesn't read are pruned.
     """
-    return df.select(F.inline_outer(F.array(F.struct("*"))))
+    if not derived:
+        return df.select(F.inline_outer(F.array(F.struct("*"))))
+    kept = [c for c in df.columns if c not in derived]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*derived)))).select(*df.columns)
 
 
 def ring_pairs(objects: DataFrame, majors: list[str], *order: str) -> DataFrame:
@@ -65,7 +69,7 @@ def candidates(pairs: DataFrame, index: Column, strategies: dict | None = None)
     for k, (axis, size) in enumerate(zip(B.AXES, ("w", "d", "h"), strict=True)):
         off = F.when(F.col("axis") == k, shift).otherwise(0.0)
         bounds |= {f"a_min_{axis}": -F.col(f"a_{size}") / 2, f"a_max_{axis}": F.col(f"a_{size}") / 2, f"b_min_{axis}": off - F.col(f"b_{size}") / 2, f"b_max_{axis}": off + F.col(f"b_{size}") / 2}
-    return sealed(out.withColumns(bounds).drop("_i", "_sa", "_sb"))
+    return sealed(out.withColumns(bounds).drop("_i", "_sa", "_sb"), *bounds)
 
 
 def measured(placed: DataFrame, policy: L.LabelPolicy = L.POLICY) -> DataFrame:
@@ -85,7 +89,8 @@ def measured(placed: DataFrame, policy: L.LabelPolicy = L.POLICY) -> DataFrame:
         "norm": L.normalized_intersection(F.col("va"), F.col("vb"), F.col("iv")),
     })
     out = out.withColumn("relation", L.relation(*[F.col(c) for c in ("va", "vb", "iv", "distance", "a_in_b", "b_in_a", "boolean_status")], F.lit("ok"), policy))
-    return sealed(out.withColumn("distance_status", F.when(L.interferes(F.col("relation")), "skipped_positive_overlap").otherwise("ok")))
+    out = out.withColumn("distance_status", F.when(L.interferes(F.col("relation")), "skipped_positive_overlap").otherwise("ok"))
+    return sealed(out, *[c for c in out.columns if c not in placed.columns])
 
 
 def overlapping_pairs(rows: DataFrame, key: str, id_col: str) -> DataFrame:
