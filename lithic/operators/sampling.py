@@ -18,11 +18,11 @@ def _hash_rank(df: DataFrame, by: list[str], key: Column, ties: list[Column], na
     The hash's first digits cut a class into 4,096 ranges of equal width; a row's rank is that within its range plus the
     rows of the class's earlier ranges, of which there is a short list.
     """
-    cut = df.withColumn("_key", key).withColumn("_at", F.struct(*by, F.substring("_key", 1, 3).alias("_range")))
+    cut = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 3)).withColumn("_at", F.struct(*by, "_range"))
     n = cut.groupBy("_at").agg(F.count(F.lit(1)).alias("_in"))
     before = n.select("_at", F.coalesce(F.sum("_in").over(Window.partitionBy(*[f"_at.{c}" for c in by]).orderBy("_at._range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_at").orderBy("_key", *ties))
-    return cut.withColumn("_inside", inside).join(before, "_at").withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_at", "_before", "_inside")
+    inside = F.row_number().over(Window.partitionBy("_range", *by).orderBy("_key", *ties))  # plain columns: structs have no sort prefix
+    return cut.withColumn("_inside", inside).join(before, "_at").withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_at", "_range", "_before", "_inside")
 
 
 def cap_to_smallest(rows: DataFrame, part: list[str], answer: str, key: Column, ties: list[Column], classes: int | None = None) -> DataFrame:
