@@ -67,7 +67,7 @@ def group_row_hashes(spark, sf):
     FROM task_rows t JOIN geo g USING (geometry_id)""")
 def public_rows(spark, sf):
     """Public rows with metadata defaults and hashes, flattened."""
-    r = task_rows(spark, sf).select("id", "geometry_id", "task_type", "answer").join(_records(spark, sf), "geometry_id")
+    r = E.keyed(task_rows(spark, sf).select("id", "geometry_id", "task_type", "answer"), _records(spark, sf), "geometry_id")
     r = r.withColumns({"prompt": F.concat("task_type", F.lit("?")), "assembly_group_id": F.lit(None).cast("string"), "counterfactual_group_id": F.when(F.col("a_object_id") % 3 == 0, F.concat(F.lit("cf_"), F.col("a_object_id").cast("string"))), "generator_ids": F.array("a_generator_id"), "tags": F.array("a_tag")})
     p = X.public_rows(r, "v1", F.lit("train"))
     m = F.col("metadata")
