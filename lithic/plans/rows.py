@@ -13,7 +13,7 @@ from ..operators import exports as X
 from ..operators import materialize as M
 from ..operators import pairs as P
 from ..operators import selection as S
-from .evaluation import _ED, _OUT, _edits, _scored, predictions
+from .evaluation import _ED, _OUT, _answered, _edits, _scored, predictions
 from .frames import BOXES_SQL, GEO_SQL, boxes, geometries, table
 from .geometry import _MOVES, _TASKS, task_rows
 from .splitting import _ORDERS, orders
@@ -343,7 +343,7 @@ def known_predictions(spark, sf):
     ELSE greatest(CASE WHEN correct THEN 1.0 ELSE 0.0 END * f, 0.05 * f) END::DOUBLE, 6) AS reward FROM (SELECT *, CASE WHEN output LIKE '<answer>%' THEN 0.85 ELSE 1.0 END AS f FROM sc)""")
 def dispatched_rewards(spark, sf):
     """One reward for all base tasks, with the format's part."""
-    s = _scored(spark, sf)
+    s = _answered(spark, sf)
     return s.select("id", F.round(X.reward(F.col("task_type"), F.col("answer"), F.col("output")), 6).alias("reward"))
 
 
